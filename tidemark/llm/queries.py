@@ -7,19 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import sql
+from .common import fold, table
+from .langid import identify
+from .mixing import mix
 from .ngram_join import ngram_join
+from .secrets import secret_report
+from .topk import exact_topk
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), budget_share=1.0, target_entropy=0.97)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fold("doc_id", 3) != 1)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_source_mixing": op2_source_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_exact_topk": sql.OP1,
+    "op2_source_mixing": sql.OP2,
+    "op6_ngram_jaccard_join": sql.OP6,
+    "op9_secret_scan": sql.OP9,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
