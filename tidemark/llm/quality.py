@@ -217,3 +217,22 @@ def score(docs: DataFrame, trusted: DataFrame, labels: DataFrame | None = None,
     """Rows (doc_id, score) for each row of docs(doc_id, text): the probability that a text is like the trusted ones."""
     model = fit(docs.select("doc_id", "text"), trusted, labels, prior)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_scored(model), "doc_id long, score double")
+
+
+def _kept(model: PuClassifier | None, names: list[str], least: float):
+    at = names.index("text")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array([features(None if t.as_py() is None else t.as_py().encode()) for t in b.column(at)])
+            good = model.scores(x) >= least if model else np.ones(len(x), bool)
+            yield b.filter(pa.array(good))
+
+    return run
+
+
+def kept(docs: DataFrame, model: PuClassifier | None, least: float) -> DataFrame:
+    """The rows of docs whose texts score at least that much, without a join; without a model, all."""
+    return docs.mapInArrow(_kept(model, docs.columns, least), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import preference, quality, sql, toxicity
+from . import line_dedup, preference, quality, sql, toxicity
 from .common import fold, table
 from .decontaminate import contained
 from .langid import identify
@@ -32,6 +32,10 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(masks)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"), threshold=1, min_length=30, min_copies=2)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
     found = quality.score(table(spark, sf_dir, "documents"), labels.filter("label = 1"), labels)
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_source_mixing": op2_source_mixing,
     "op3_preference_format": op3_preference_format,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
