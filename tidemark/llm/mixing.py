@@ -29,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 GRID, BLOCK_TOKENS, SEED = 1024, 65536, "mix"
 #: Shares are read at this many decimal places, so that the exponent does not hang on the order of sums.
 PLACES = 9
@@ -107,7 +109,8 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None
     copies counts a document's whole and partial epochs; (block, place) is its
     order in its source's permutation.
     """
-    counted = docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"))
+    # Texts are counted once; all that follows reads three narrow columns.
+    counted = Scratch(docs.sparkSession, "mixing").put(docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens")), "counted")
     sources = plan(counted, budget_share, target_entropy, max_repeat)
     sources = sources.select(
         F.col("source").alias("s"),
