@@ -1,0 +1,132 @@
+import json
+import os
+
+import pytest
+
+from tidemark.engine import Engine
+from tidemark.errors import StreamError
+from tidemark.streaming import sinks
+from tidemark.streaming.options import define, parse
+
+BASE = {"source.table": "m", "sink.type": "filesystem", "sink.filesystem.path": "/tmp/x"}
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "db")) as e:
+        e.execute("CREATE TABLE m (time BIGINT NOT NULL, region VARCHAR, value BIGINT)")
+        yield e
+
+
+def insert(engine, lo, hi):
+    engine.execute("INSERT INTO m VALUES " + ", ".join(f"({1700000000000 + i}, '{'east' if i % 2 == 0 else 'west'}', {i})" for i in range(lo, hi)))
+
+
+def test_options_accepted_and_rejected():
+    d, exists = parse("CREATE STREAM IF NOT EXISTS s WITH ('source.table'='m', 'sink.type'='kafka', 'sink.kafka.brokers'='b:1', 'sink.kafka.topic'='t')")
+    assert exists and d.mode == "hybrid" and d.options["partitioner"] == "default" and d.plan().endswith("activate")
+    assert define("s", BASE | {"cdc.auto_end": "true"}).plan().endswith("complete")
+    assert "'cdc.auto_end'='true'" in define("s", BASE | {"cdc.auto_end": "yes"}).statement()
+    assert "hush" not in define("s", BASE | {"sink.filesystem.secret.key": "hush"}).statement()
+    pulsar = {"source.table": "m", "sink.type": "pulsar", "sink.pulsar.topic": "t", "sink.pulsar.service-url": "u", "sink.pulsar.admin-url": "a"}
+    mqtt = {"source.table": "m", "sink.type": "mqtt", "sink.mqtt.server-uri": "tcp://h", "sink.mqtt.topic": "t"}
+    kafka = {"source.table": "m", "sink.type": "kafka", "sink.kafka.brokers": "b", "sink.kafka.topic": "t"}
+    iceberg = {"source.table": "m", "sink.type": "iceberg", "sink.iceberg.catalog-type": "hadoop", "sink.iceberg.catalog-name": "c", "sink.iceberg.namespace": "n", "sink.iceberg.table": "t"}
+    assert define("s", mqtt).options["url"] == "tcp://h" and define("s", pulsar).options["delivery-guarantee"] == "at-least-once"
+    assert define("s", iceberg | {"sink.iceberg.warehouse": "/w"}).mode == "batch"
+    jaas = define("s", kafka | {"sink.kafka.sasl.jaas.config": 'x required username="u" password="p";'})
+    assert jaas.options["sasl.username"] == "u"
+    for bad in (
+        BASE | {"sink.type": "carrier-pigeon"}, BASE | {"cdc.mode": "log"}, BASE | {"cdc.from_timestamp": "1"}, BASE | {"source.table": "a,b"}, BASE | {"sink.format": "json"},
+        BASE | {"sink.kafka.topic": "t"}, BASE | {"sink.filesystem.path": "gs://b"}, BASE | {"sink.filesystem.connection.timeout": "soon"}, {"sink.type": "filesystem", "source.table": "m"},
+        kafka | {"sink.kafka.delivery-guarantee": "exactly-once", "sink.kafka.acks": "1"}, kafka | {"sink.consumer": "x"}, kafka | {"sink.kafka.made.up": "1"},
+        iceberg, pulsar | {"sink.pulsar.delivery-guarantee": "exactly-once"}, pulsar | {"sink.pulsar.auth-params": "token:x"}, mqtt | {"sink.mqtt.password": "p"},
+        mqtt | {"sink.mqtt.clean-session": "false"}, mqtt | {"sink.mqtt.max-inflight": "0"}, mqtt | {"sink.mqtt.qos": "3"},
+    ):
+        with pytest.raises(StreamError):
+            define("s", bad)
+    for bad in ("CREATE STREAM s", "CREATE STREAM s WITH (a = 'b')"):
+        with pytest.raises(Exception):
+            parse(bad)
+
+
+def test_filesystem_export_and_catch_up(engine, tmp_path):
+    out = tmp_path / "out"
+    insert(engine, 0, 100)
+    with pytest.raises(Exception):
+        engine.execute(f"CREATE STREAM bad WITH ('source.table'='nope', 'sink.type'='filesystem', 'sink.filesystem.path'='{out}')")
+    engine.execute(f"CREATE STREAM s WITH ('source.table'='m', 'sink.type'='filesystem', 'sink.filesystem.path'='{out}')")
+    with pytest.raises(StreamError):
+        engine.execute(f"CREATE STREAM s WITH ('source.table'='m', 'sink.type'='filesystem', 'sink.filesystem.path'='{out}')")
+    engine.streams.wait("s")
+    insert(engine, 100, 150)
+    engine.streams.wait("s")
+    read = lambda: sorted(r["value"] for r in engine.spark.read.parquet(f"{out}/*.parquet").collect())
+    assert read() == list(range(100))  # unflushed rows are not for file sinks
+    engine.execute("FLUSH TABLE m")
+    engine.streams.wait("s")
+    assert read() == list(range(150))
+    engine.compact("m")
+    engine.streams.wait("s")
+    assert read() == list(range(150))
+    shown = engine.query("SHOW STREAM STATUS FOR s").collect()[0]
+    assert shown["acked_lsn"] == 2 and shown["phase"] in ("active", "syncingbatch")
+    assert [tuple(r) for r in engine.query("SHOW STREAMS").collect()] == [("s", "filesystem", "batch", "m")]
+    assert "CREATE STREAM s" in engine.query("SHOW STREAM s").collect()[0]["create_statement"]
+    engine.execute("DROP STREAM s")
+    assert engine.query("SHOW STREAMS").count() == 0
+
+
+def test_delta_log_and_repeated_batches(engine, tmp_path):
+    out = tmp_path / "delta"
+    insert(engine, 0, 10)
+    engine.execute(f"CREATE STREAM d WITH ('source.table'='m', 'sink.type'='delta', 'sink.delta.path'='{out}', 'cdc.auto_end'='true')")
+    engine.streams.wait("d")
+    assert engine.streams.phase("d") == "completed"
+    log = sorted(os.listdir(out / "_delta_log"))
+    actions = [json.loads(x) for x in (out / "_delta_log" / log[0]).read_text().splitlines()]
+    kinds = [next(iter(a)) for a in actions]
+    assert kinds[:4] == ["commitInfo", "protocol", "metaData", "txn"] and sum(json.loads(a["add"]["stats"])["numRecords"] for a in actions if "add" in a) == 10
+    sink = sinks.make_sink(engine.streams.running["d"].d)
+    df = engine.table("m")
+    sink.commit(df, 0)
+    assert sorted(os.listdir(out / "_delta_log")) == log
+    sink.commit(df, 1)
+    assert len(os.listdir(out / "_delta_log")) == 2
+
+
+def test_message_encoding_and_transport(engine, tmp_path, monkeypatch):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    box = str(inbox)
+
+    def transport(options):
+        def send(rows):
+            import os
+            import uuid
+
+            with open(os.path.join(box, uuid.uuid4().hex), "w") as f:
+                for k, v in rows:
+                    f.write(json.dumps([options["topic"], k, v]) + "\n")
+
+        return send
+
+    monkeypatch.setitem(sinks.TRANSPORTS, "pulsar", transport)
+    insert(engine, 0, 4)
+    engine.execute("CREATE STREAM p WITH ('source.table'='m', 'sink.type'='pulsar', 'sink.pulsar.topic'='top', 'sink.pulsar.service-url'='u', 'sink.pulsar.admin-url'='a', 'sink.pulsar.key.fields'='k_region', 'sink.pulsar.key.fields-prefix'='k_')")
+    engine.streams.wait("p")
+    insert(engine, 4, 6)  # hybrid: leaves before it is flushed
+    engine.streams.wait("p")
+    engine.execute("FLUSH TABLE m")
+    engine.streams.wait("p")
+    got = [json.loads(x) for f in inbox.iterdir() for x in f.read_text().splitlines()]
+    assert sorted(json.loads(v)["value"] for _, _, v in got) == list(range(6))
+    assert {k for _, k, _ in got} == {'{"k_region":"east"}', '{"k_region":"west"}'} and {t for t, *_ in got} == {"top"}
+
+
+def test_sinks_without_connector_fail_for_good(engine):
+    insert(engine, 0, 2)
+    engine.execute("CREATE STREAM q WITH ('source.table'='m', 'sink.type'='mqtt', 'sink.mqtt.url'='tcp://h', 'sink.mqtt.topic'='t')")
+    engine.streams.wait("q")
+    assert engine.streams.phase("q") == "failed"
+    assert "not available" in engine.query("SHOW STREAM STATUS FOR q").collect()[0]["step"]

@@ -1,13 +1,237 @@
-"""Queries of the engine over the driver's tables, with the SQL they are held against."""
+"""Queries of the engine over the driver's tables, with the SQL they are held against.
 
+Each query goes through the engine: the tables it names are tables of an
+engine, loaded from the driver's Parquet with a time column added, and the SQL
+text runs over their views. So scans, the newest-row rule and the reading of
+the SQL are what is compared.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+import atexit
+import hashlib
+import os
+import shutil
+import tempfile
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..engine import Engine
 
-def oracle_sql():
-    return {}
+#: Table -> SQL expression of its time. Times are unique per table, as a time-keyed table needs.
+TIMES = {
+    "events": "event_id",
+    "customer": "c_custkey",
+    "supplier": "s_suppkey",
+    "part": "p_partkey",
+    "orders": "o_orderkey",
+    "nation": "CAST(n_nationkey AS BIGINT)",
+    "region": "CAST(r_regionkey AS BIGINT)",
+    "lineitem": "_metadata.row_index",
+}
+
+_engines: dict[tuple[int, str], Engine] = {}
+
+
+def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose tables are bulk-loaded from sf_dir, made once for each session and folder."""
+    key = (id(spark.sparkContext), sf_dir)
+    if key not in _engines:
+        # The engine's files belong in a folder that driver and executors share.
+        shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+        root = tempfile.mkdtemp(prefix="tidemark-engine-", dir=shared if shared and os.path.isdir(shared) else None)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _engines[key] = Engine(spark, os.path.join(root, hashlib.md5(sf_dir.encode()).hexdigest()[:8]))
+    return _engines[key]
+
+
+def loaded(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
+    engine = engine_for(spark, sf_dir)
+    for name in names:
+        if name in engine.store.tables:
+            continue
+        df = engine.spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("time", F.expr(TIMES[name]).cast("long"))
+        engine.create_table(name, df.select("time", *[c for c in df.columns if c != "time"]).schema)
+        staged = f"{engine.store.uri}/staged-{name}"
+        df.write.mode("overwrite").parquet(staged)
+        engine.bulk_load(name, [f"{staged}/{f}" for f in sorted(os.listdir(staged)) if f.endswith(".parquet")])
+        shutil.rmtree(staged)
+    return engine
+
+
+def over(sql: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: loaded(spark, sf_dir, *names).query(sql)
+
+
+#: name -> (tables, engine SQL, SQL of the oracle where it must differ)
+TEXTS: dict[str, tuple[str, str, str | None]] = {
+    # Projections, filters, predicates
+    "proj_alias_arith": ("events", "SELECT event_id, value * 2 + 1 AS v2, value - 1 AS v1 FROM events", None),
+    "filter_logic": ("events", "SELECT event_id FROM events WHERE (event_type = 'click' AND value >= 20) OR NOT (value < 90)", None),
+    "filter_compare": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice <> 0 AND o_totalprice <= 100000 AND o_orderkey >= 100", None),
+    "filter_in": ("orders", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority NOT IN ('1-URGENT')", None),
+    "filter_between_time": ("events", "SELECT event_id, value FROM events WHERE time BETWEEN 100 AND 700", "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 700"),
+    "filter_time_range": ("events", "SELECT event_id FROM events WHERE time > 50 AND 900 >= time AND value > 10", "SELECT event_id FROM events WHERE event_id > 50 AND event_id <= 900 AND value > 10"),
+    "filter_null": ("nation supplier", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 9000 WHERE s_suppkey IS NULL OR s_name IS NOT NULL", None),
+    "filter_like": ("customer", "SELECT c_custkey FROM customer WHERE c_name LIKE '%1%' AND c_mktsegment ILIKE 'build%'", None),
+    "bool_column": ("events", "SELECT event_id, value > 50 AS big FROM events WHERE (value > 50) = TRUE", None),
+    "distinct": ("events", "SELECT DISTINCT event_type FROM events", None),
+    "case_band": ("events", "SELECT event_id, CASE WHEN value >= 66 THEN 'high' WHEN value >= 33 THEN 'mid' ELSE 'low' END AS band, CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS is_click FROM events", None),
+    "cast_trunc": ("events", "SELECT event_id, CAST(value AS BIGINT) AS v, CAST(event_id AS VARCHAR(20)) AS s FROM events", "SELECT event_id, CAST(trunc(value) AS BIGINT) AS v, CAST(event_id AS VARCHAR) AS s FROM events"),
+    "coercion": ("orders", "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderkey + 1 > 10", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey + 1 > 10"),
+    "decimal_compare": ("customer", "SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer WHERE CAST(c_acctbal AS DECIMAL(12,2)) >= 100", None),
+    "quoted_identifier": ("nation", 'SELECT n_nationkey AS "select", N_NAME AS "Name" FROM nation', None),
+    # Joins
+    "join_inner": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", None),
+    "join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", None),
+    "join_right": ("supplier nation", "SELECT s_suppkey, n_nationkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", None),
+    "join_full": ("nation supplier", "SELECT coalesce(n_nationkey, s_nationkey) AS k, s_suppkey FROM nation FULL OUTER JOIN supplier ON n_nationkey = s_nationkey", None),
+    "join_cross": ("region nation", "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation WHERE n_nationkey < 3", None),
+    "join_multi_key": ("nation supplier customer", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey", None),
+    "join_string_key": ("nation", "SELECT a.n_nationkey AS x, b.n_regionkey AS y FROM nation a JOIN nation b ON a.n_name = b.n_name", None),
+    "join_theta_residual": ("orders customer", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20", None),
+    "join_self_time": ("events", "SELECT a.event_id AS e, b.value - a.value AS d FROM events a JOIN events b ON b.time = a.time + 100", "SELECT a.event_id AS e, b.value - a.value AS d FROM events a JOIN events b ON b.event_id = a.event_id + 100"),
+    "join_three": ("customer nation region", "SELECT r_name, count(*) AS n, round(sum(c_acctbal), 3) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", None),
+    "join_filtered_agg": ("orders customer", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_acctbal > 0 GROUP BY c_mktsegment", None),
+    "join_semi_anti": ("customer orders", "SELECT c_custkey, 'has' AS k FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT c_custkey, 'none' AS k FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey, 'has' AS k FROM customer SEMI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT c_custkey, 'none' AS k FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
+    "join_using_natural": ("nation region", "SELECT n_name, k FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_regionkey AS k FROM region)", None),
+    "join_theta_only": ("region nation", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON r_regionkey > n_nationkey", None),
+    "join_cte_sub": ("orders customer", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000) SELECT c_custkey, t.n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) t ON c_custkey = t.o_custkey", None),
+    # Aggregates
+    "agg_basic": ("events", "SELECT event_type, count(*) AS c, count(value) AS cv, round(sum(value), 4) AS s, round(avg(value), 6) AS a, min(value) AS mn, max(value) AS mx FROM events GROUP BY event_type", None),
+    "agg_empty": ("events", "SELECT count(*) AS c, sum(value) AS s, avg(value) AS a FROM events WHERE value < -1000000", None),
+    "agg_having": ("events", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 5", None),
+    "agg_distinct": ("events", "SELECT count(DISTINCT event_type) AS t, count(DISTINCT user_id) AS u FROM events", None),
+    "agg_distinct_grouped": ("events", "SELECT event_type, count(DISTINCT user_id) AS u, round(sum(value), 4) AS s FROM events GROUP BY event_type", None),
+    "agg_grouping_sets": ("events", "SELECT event_type, count(*) AS c FROM events GROUP BY GROUPING SETS ((event_type), ())", None),
+    "agg_cube": ("orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS c FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
+    "agg_rollup": ("orders", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS s, grouping(o_orderpriority) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", None),
+    "agg_conditional": ("events", "SELECT sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS big, count(*) FILTER (WHERE value <= 50) AS small FROM events", "SELECT CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS big, count(*) FILTER (WHERE value <= 50) AS small FROM events"),
+    "agg_date_trunc": ("events", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, count(*) AS c FROM events GROUP BY CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)", "SELECT date_trunc('hour', ts) AS h, count(*) AS c FROM events GROUP BY 1"),
+    "agg_decimal": ("lineitem", "SELECT l_returnflag, sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS s FROM lineitem GROUP BY l_returnflag", None),
+    "agg_sum_int": ("lineitem", "SELECT sum(l_linenumber) AS s FROM lineitem", "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem"),
+    "agg_stats": ("lineitem", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(var_samp(l_tax), 8) AS v, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_tax), 6) AS cp, round(median(l_quantity), 6) AS md FROM lineitem GROUP BY l_returnflag", None),
+    "agg_regr": ("lineitem", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ic, regr_count(l_extendedprice, l_quantity) AS n FROM lineitem", None),
+    "agg_bits": ("events", "SELECT bit_and(event_id) AS a, bit_or(event_id) AS o, bit_xor(event_id) AS x, bool_and(value > -1) AS ba, bool_or(value > 99) AS bo FROM events", None),
+    # Windows
+    "win_row_number": ("events", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS rn FROM events", None),
+    "win_rank": ("orders", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS d FROM orders", None),
+    "win_lag_lead": ("events", "SELECT event_id, lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY ts) AS p, lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events", None),
+    "win_running": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS s FROM events", None),
+    "win_range": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY time RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW), 6) AS s FROM events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW), 6) AS s FROM events"),
+    "win_whole": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type), 4) AS s, count(*) OVER (PARTITION BY user_id) AS c FROM events", None),
+    "win_ntile_pct": ("events", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY event_type ORDER BY ts) AS BIGINT) AS q, percent_rank() OVER (PARTITION BY event_type ORDER BY ts) AS p, cume_dist() OVER (PARTITION BY event_type ORDER BY ts) AS c FROM events", None),
+    "win_first_last": ("events", "SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 2) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", None),
+    # Subqueries, CTEs, sets, order
+    "sub_in": ("customer orders", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", None),
+    "sub_not_in": ("customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", None),
+    "sub_exists": ("customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 150000) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')", None),
+    "sub_derived": ("events", "SELECT t.event_type, t.s FROM (SELECT event_type, round(sum(value), 4) AS s FROM events GROUP BY event_type) t WHERE t.s > 0", None),
+    "sub_corr": ("events", "SELECT event_id FROM events m WHERE value > (SELECT avg(value) FROM events x WHERE x.user_id = m.user_id)", None),
+    "sub_scalar": ("events", "SELECT event_id, (SELECT max(value) FROM events) AS mx FROM events WHERE event_type = 'click'", None),
+    "cte_pair": ("events", "WITH a AS (SELECT event_id, value FROM events WHERE event_type = 'click'), b AS (SELECT event_id, value FROM events WHERE event_type <> 'click') SELECT a.event_id AS x, b.value - a.value AS d FROM a JOIN b ON b.event_id = a.event_id + 1", None),
+    "cte_recursive": ("region", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT CAST(n AS BIGINT) AS n, r_name FROM r JOIN region ON n % 5 = r_regionkey", None),
+    "set_union": ("nation supplier", "SELECT n_nationkey AS k FROM nation UNION SELECT s_nationkey AS k FROM supplier UNION ALL SELECT 99 AS k", None),
+    "set_intersect": ("nation supplier", "SELECT n_nationkey AS k FROM nation INTERSECT SELECT s_nationkey AS k FROM supplier", None),
+    "set_except": ("customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders", None),
+    "order_limit_offset": ("events", "SELECT event_id, ts FROM events ORDER BY ts DESC LIMIT 10 OFFSET 3", None),
+    "order_nulls_default": ("nation supplier", "SELECT n_nationkey, m FROM (SELECT n_nationkey, max(s_acctbal) AS m FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey < 8 GROUP BY n_nationkey) t ORDER BY m, n_nationkey LIMIT 9", "SELECT n_nationkey, m FROM (SELECT n_nationkey, max(s_acctbal) AS m FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey < 8 GROUP BY n_nationkey) t ORDER BY m NULLS LAST, n_nationkey LIMIT 9"),
+    "topk": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
+    "unnest": ("nation", "SELECT n_nationkey, explode(array(n_regionkey, n_nationkey)) AS v FROM nation", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS v FROM nation"),
+    # Functions
+    "fn_strings": ("customer", "SELECT c_custkey, concat(c_name, NULL, ':', c_mktsegment) AS c, upper(c_name) AS u, lower(c_mktsegment) AS l, substr(c_name, 1, 3) AS s, strpos(c_name, '#') AS p, lpad(c_mktsegment, 12, '*') AS lp, replace(c_name, '0', 'o') AS r, reverse(c_mktsegment) AS rv, starts_with(c_name, 'Cust') AS sw, char_length(c_name) AS n, split_part(c_name, '#', 2) AS sp, translate(c_mktsegment, 'AE', 'ae') AS t FROM customer", "SELECT c_custkey, concat(c_name, NULL, ':', c_mktsegment) AS c, upper(c_name) AS u, lower(c_mktsegment) AS l, substr(c_name, 1, 3) AS s, strpos(c_name, '#') AS p, lpad(c_mktsegment, 12, '*') AS lp, replace(c_name, '0', 'o') AS r, reverse(c_mktsegment) AS rv, starts_with(c_name, 'Cust') AS sw, length(c_name) AS n, split_part(c_name, '#', 2) AS sp, translate(c_mktsegment, 'AE', 'ae') AS t FROM customer"),
+    "fn_regex": ("customer", "SELECT c_custkey, regexp_like(c_name, '[0-9]*7$') AS m, regexp_replace(c_name, '[0-9]', 'x', 1) AS r, regexp_count(c_name, '0') AS n FROM customer", "SELECT c_custkey, regexp_matches(c_name, '[0-9]*7$') AS m, regexp_replace(c_name, '[0-9]', 'x', 'g') AS r, len(regexp_extract_all(c_name, '0')) AS n FROM customer"),
+    "fn_math": ("events", "SELECT event_id, abs(value - 50) AS a, round(value - 50) + 0 AS r, floor(value) AS f, ceil(value) AS c, round(sqrt(abs(value)), 6) AS s, round(ln(abs(value) + 1), 6) AS l, sign(value - 50) AS g, gcd(event_id, 12) AS gc, lcm(event_id + 1, 4) AS lc, round(atan2(value, 2), 6) AS at, factorial(5) AS fa, power(event_id % 5, 2) AS pw FROM events", "SELECT event_id, abs(value - 50) AS a, round(value - 50) + 0 AS r, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, round(sqrt(abs(value)), 6) AS s, round(ln(abs(value) + 1), 6) AS l, CAST(sign(value - 50) AS DOUBLE) AS g, gcd(event_id, 12) AS gc, lcm(event_id + 1, 4) AS lc, round(atan2(value, 2), 6) AS at, CAST(factorial(5) AS BIGINT) AS fa, power(event_id % 5, 2) AS pw FROM events"),
+    "fn_conditional": ("events", "SELECT event_id, nullif(event_type, 'click') AS n, coalesce(nullif(event_type, 'click'), 'none') AS c, greatest(value, 50.0) AS g, least(value, 50.0) AS l, ifnull(nullif(event_type, 'view'), 'v') AS i FROM events", None),
+    "fn_dates": ("events", "SELECT event_id, extract(YEAR FROM ts) AS y, date_part('hour', ts) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS d, to_char(ts, 'yyyy-MM-dd') AS s, date_bin(INTERVAL '15' MINUTE, ts, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS b FROM events", "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, CAST(date_part('hour', ts) AS INTEGER) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, strftime(ts, '%Y-%m-%d') AS s, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01') AS b FROM events"),
+    "fn_arrays": ("nation", "SELECT n_nationkey, array_to_string(array_concat(make_array('a', n_name), make_array('z')), '-') AS j, array_length(make_array(1, 2, 3)) AS n, array_has(make_array(1, 5, n_nationkey), 5) AS h, array_element(make_array(7, 8), 2) AS e, array_position(make_array(4, 5), 5) AS p FROM nation", "SELECT n_nationkey, 'a-' || n_name || '-z' AS j, 3 AS n, true AS h, 8 AS e, 2 AS p FROM nation"),
+    "fn_hash": ("nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, to_hex(n_nationkey) AS h FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, lower(to_hex(n_nationkey)) AS h FROM nation"),
+    "fn_struct_map": ("nation", "SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey).b AS b, element_at(map('k', n_name), 'k') AS m FROM nation", "SELECT n_nationkey, n_regionkey AS b, n_name AS m FROM nation"),
+    # Benchmark-like
+    "pricing_summary": ("lineitem", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus"),
+    "revenue_by_nation": ("lineitem orders customer nation", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", None),
+}
+
+
+# ---- the engine's own behaviour over tables that it writes -----------------
+
+
+def _fresh(spark: SparkSession, sf_dir: str, name: str) -> Engine:
+    engine = engine_for(spark, sf_dir)
+    engine.store.drop(name, True)
+    return engine
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events by time, flushed; some times written again, which hide the first; aggregated by hour."""
+    engine = _fresh(spark, sf_dir, "flagship")
+    engine.execute("CREATE TABLE flagship (time TIMESTAMP(6) NOT NULL, event_type VARCHAR, value DOUBLE)")
+    events = engine.spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("time"), "event_type", "value")
+    _load(engine, "flagship", events)
+    _load(engine, "flagship", events.filter("value > 50").withColumn("value", F.lit(50.0)))
+    return engine.query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS s, round(avg(value), 6) AS a, max(value) AS mx FROM flagship GROUP BY event_type HAVING count(*) > 0 ORDER BY event_type")
+
+
+def _load(engine: Engine, name: str, df: DataFrame) -> None:
+    staged = f"{engine.store.uri}/staged-{name}"
+    df.write.mode("overwrite").parquet(staged)
+    engine.bulk_load(name, [f"{staged}/{f}" for f in sorted(os.listdir(staged)) if f.endswith(".parquet")])
+    shutil.rmtree(staged)
+
+
+def dedup_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event lands on one of 50 times, in four loads: of each time the last write is visible."""
+    engine = _fresh(spark, sf_dir, "newest")
+    engine.execute("CREATE TABLE newest (time BIGINT NOT NULL, event_id BIGINT, value DOUBLE)")
+    events = engine.spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 50).alias("time"), "event_id", "value")
+    for part in range(4):
+        _load(engine, "newest", events.filter((F.floor(F.col("event_id") / 50) % 4) == part).orderBy("event_id").coalesce(1))
+    return engine.query("SELECT time AS t, event_id, value FROM newest")
+
+
+def write_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT, FLUSH, INSERT again, a new column, and compaction."""
+    engine = _fresh(spark, sf_dir, "layers")
+    engine.execute("CREATE TABLE layers (time BIGINT NOT NULL, region VARCHAR, value DOUBLE)")
+    engine.execute("INSERT INTO layers VALUES (1000, 'east', 10), (2000, 'east', 20), (3000, 'west', 30)")
+    engine.execute("FLUSH TABLE layers")
+    engine.execute("INSERT INTO layers (value, time, region) VALUES (21.5, 2000, 'north'), (-4e1, 4000, NULL)")
+    engine.execute("FLUSH TABLES")
+    engine.execute("ALTER TABLE layers ADD COLUMN note VARCHAR")
+    engine.execute("INSERT INTO layers VALUES (1000, 'east', 11, 'it''s late'), (5000, 'south', 50, NULL)")
+    engine.compact("layers")
+    return engine.query("SELECT time AS t, region, value, note FROM layers")
+
+
+WRITE_LAYERS_SQL = "SELECT * FROM (VALUES (CAST(1000 AS BIGINT), 'east', CAST(11 AS DOUBLE), 'it''s late'), (2000, 'north', 21.5, NULL), (3000, 'west', 30, NULL), (4000, NULL, -40, NULL), (5000, 'south', 50, NULL)) v(t, region, value, note)"
+
+
+def stream_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table exported to Parquet files by a stream that ends when the history is out, read back."""
+    engine = _fresh(spark, sf_dir, "exported")
+    out = os.path.join(engine.store.root, "sink-exported")
+    shutil.rmtree(out, ignore_errors=True)
+    engine.execute("CREATE TABLE exported (time BIGINT NOT NULL, event_type VARCHAR, value DOUBLE)")
+    _load(engine, "exported", engine.spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("time"), "event_type", "value"))
+    engine.execute(f"CREATE STREAM export_all WITH ('sink.type'='filesystem', 'source.table'='exported', 'sink.filesystem.path'='{out}', 'cdc.auto_end'='true')")
+    engine.streams.wait("export_all", 120)
+    engine.execute("DROP STREAM export_all")
+    return engine.spark.read.parquet(f"{out}/*.parquet").select(F.col("time").alias("event_id"), "event_type", "value")
+
+
+OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "flagship": (flagship, "SELECT event_type, count(*) AS n, round(sum(least(value, 50.0)), 4) AS s, round(avg(least(value, 50.0)), 6) AS a, max(least(value, 50.0)) AS mx FROM events GROUP BY event_type"),
+    "dedup_newest": (dedup_newest, "SELECT t, event_id, value FROM (SELECT event_id % 50 AS t, event_id, value, row_number() OVER (PARTITION BY event_id % 50 ORDER BY (event_id // 50) % 4 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"),
+    "write_layers": (write_layers, WRITE_LAYERS_SQL),
+    "stream_export": (stream_export, "SELECT event_id, event_type, value FROM events"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: over(sql, *tables.split()) for n, (tables, sql, _) in TEXTS.items()} | {n: f for n, (f, _) in OWN.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: other or sql for n, (_, sql, other) in TEXTS.items()} | {n: sql for n, (_, sql) in OWN.items()}
