@@ -9,8 +9,11 @@ shingles is at least num/den. The join is exact up to 64-bit hash collisions:
    size class [lo, hi], linked sets differ in at most D = hi*(den-num)/num
    shingles. The hash space is cut into more than D cells; linked sets agree
    in all of some cell, so they share the key of that cell's content. Cells
-   with little content are left out as far as a set has spare cells, so
-   unrelated texts seldom meet. Nodes that share keys form a cluster.
+   with little content are left out as far as a set has spare cells. Of a
+   key's members the bitmaps are compared: a pair that could link by them is
+   an edge (not all edges: a spanning forest). Keys with more than BUCKET
+   members are not compared; all their members hang on the least one. The
+   parts that edges join are clusters.
 3. A cluster is a forest of signature trees. Its nodes, in order of size, are
    cut into leaf blocks; blocks and the levels above hold the OR and the AND
    of their bitmaps and the range of sizes. Dual traversal drops node pairs
@@ -39,6 +42,8 @@ from .shingles import mix, shingle_set
 
 #: Ratio of the size classes, documents and shingles of a leaf block, bits of a bitmap, children of a tree node.
 RATIO, LEAF_DOCS, LEAF_SHINGLES, BITS, FAN = 1.25, 256, 200_000, 2048, 16
+#: Members of a key up to which they are compared at once; nodes up to which their ids are broadcast, 8 bytes each.
+BUCKET, BROADCAST_ROWS = 2048, 500_000
 
 
 class SizeClasses:
@@ -61,7 +66,8 @@ class SizeClasses:
             differ = hi * (self.den - self.num) // self.num
             if differ:
                 need = differ + 1
-                per = n / need
+                # By the class alone: both sides have to cut into the same cells.
+                per = self.lo[g] / need
                 spare = int(need * (0.25 if per < 5 else 0.06)) if need > 8 else 0
                 out.append((g, need, need + spare, 1 if need <= 8 else 2 if per < 5 else 3))
         return out
@@ -83,23 +89,79 @@ def cell_keys(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def _sets(k: int, num: int, den: int, with_keys: bool):
+def node_of(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))
+
+
+def small_bitmap(h: np.ndarray) -> bytes:
+    """About a bit or two for each shingle; folding it in halves gives the smaller ones."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    on = np.zeros(bits, bool)
+    on[(h & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _sets(k: int):
     def run(batches):
-        classes = SizeClasses(num, den)
         for b in batches:
-            ids, n, node, keys = b.column(0), [], [], []
+            n, node, bits = [], [], []
             for t in b.column(1):
                 h = shingle_set(t.as_py(), k)
                 n.append(len(h))
-                node.append(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64) if len(h) else None)
-                if with_keys:
-                    keys.append(cell_keys(h, classes))
-            cols = [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64())]
-            if with_keys:
-                ends = np.cumsum([0] + [len(x) for x in keys])
-                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "keys"][: len(cols)])
+                node.append(node_of(h) if len(h) else None)
+                bits.append(small_bitmap(h) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "node", "bits"])
+
+    return run
+
+
+def _keys(k: int, num: int, den: int):
+    """Rows (doc_id, key); of equal sets that one task meets, just the first gives any."""
+
+    def run(batches):
+        classes, seen = SizeClasses(num, den), set()
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                ids, keys = [], []
+                for i, t in zip(part.column(0), part.column(1), strict=True):
+                    h = shingle_set(t.as_py(), k)
+                    if not len(h) or (x := node_of(h)) in seen:
+                        continue
+                    seen.add(x)
+                    own = cell_keys(h, classes)
+                    ids.append(np.full(len(own), i.as_py(), np.int64))
+                    keys.append(own)
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["doc_id", "key"])
+
+    return run
+
+
+def _bucket_edges(num: int, den: int):
+    """A spanning forest of the pairs of a key's members that could link by their bitmaps."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for cell in batch.column(0):
+                members = list({x["rep"]: x for x in cell.as_py()}.values())
+                k = len(members)
+                size = min(len(x["bits"]) for x in members)
+                bits = np.stack([np.bitwise_or.reduce(np.frombuffer(x["bits"], np.uint64).reshape(-1, size // 8), axis=0) for x in members])
+                n = np.array([x["n_shingles"] for x in members], np.int64)
+                part = np.arange(k)
+                for i in range(k - 1):
+                    j = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+                    if not len(j):
+                        continue
+                    most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+                    for x in j[most * (den + num) >= num * (n[i] + n[j])].tolist():
+                        if part[x] != part[i]:
+                            part[part == part[x]] = part[i]
+                            found.append((members[i]["rep"], members[x]["rep"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -109,13 +171,13 @@ def _payloads(k: int):
 
     def run(batches):
         for b in batches:
-            rows = {x: [] for x in ("cluster", "block", "node", "shingles")}
-            for t, node, cluster, block in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
+            rows = {x: [] for x in ("cluster", "block", "rep", "shingles")}
+            for t, node, cluster, block, rep in zip(*(b.column(i) for i in range(5)), strict=True):
                 h = shingle_set(t.as_py(), k)
-                if len(h) and int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)) == node.as_py():
-                    for x, v in zip(rows, (cluster.as_py(), block.as_py(), node.as_py(), h.tobytes()), strict=True):
+                if len(h) and node_of(h) == node.as_py():
+                    for x, v in zip(rows, (cluster.as_py(), block.as_py(), rep.as_py(), h.tobytes()), strict=True):
                         rows[x].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["cluster"], pa.int64()), pa.array(rows["block"], pa.int64()), pa.array(rows["node"], pa.int64()), pa.array(rows["shingles"], pa.binary())], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if x == "shingles" else pa.int64()) for x, v in rows.items()], names=list(rows))
 
     return run
 
@@ -216,7 +278,8 @@ def block_links(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]]
 
 
 def _unpack(cell) -> list[tuple[int, np.ndarray]]:
-    return [(x["node"], np.frombuffer(x["shingles"], np.uint64)) for x in cell.as_py()]
+    # Rows that repeat a document give its set again.
+    return [(rep, np.frombuffer(h, np.uint64)) for rep, h in {(x["rep"], x["shingles"]) for x in cell.as_py()}]
 
 
 def _links(num: int, den: int, two: bool):
@@ -264,23 +327,37 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sets = scratch.put(text.mapInArrow(_sets(k, num, den, True), "doc_id long, n_shingles long, node long, keys array<long>"), "sets")
+    sets = scratch.put(text.mapInArrow(_sets(k), "doc_id long, n_shingles long, node long, bits binary"), "sets")
     usable = sets.filter("doc_id is not null and node is not null")
-    nodes = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    least = F.min("node").over(Window.partitionBy("key"))
-    meets = entries.withColumn("least", least).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(meets, scratch).withColumnRenamed("component", "cluster")
+    nodes = scratch.put(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "nodes")
+    # doc_id -> the document that stands for its set.
+    who = usable.select("doc_id", "node").join(nodes.select("node", "rep"), "node").select("doc_id", "rep")
+
+    entries = text.filter("doc_id is not null").mapInArrow(_keys(k, num, den), "doc_id long, key long")
+    by_key = Window.partitionBy("key")
+    met = entries.withColumns({"size": F.count("*").over(by_key), "least": F.min("doc_id").over(by_key)}).filter("size > 1")
+    met = scratch.put(met, "met")
+    # Keys are many, but most have the members of another key: each company is compared once.
+    lists = met.filter(F.col("size") <= BUCKET).join(who, "doc_id").groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
+    lists = scratch.put(lists.filter(F.size("reps") > 1).select("reps").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
+    buckets = lists.select("list", F.explode("reps").alias("rep")).join(nodes, "rep").groupBy("list").agg(F.collect_list(F.struct("rep", "n_shingles", "bits")).alias("members"))
+    edges = buckets.select("members").mapInArrow(_bucket_edges(num, den), "a long, b long")
+    # Copies in different tasks are in the same parts through the documents that stand for them.
+    large = met.filter(F.col("size") > BUCKET).filter("doc_id <> least").select("doc_id", "least").distinct()
+    large = large.join(who, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("doc_id")).join(who, "doc_id").select("a", F.col("rep").alias("b"))
+    clusters = scratch.put(components(edges.union(large), scratch).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
 
     by_size = Window.partitionBy("cluster").orderBy("n_shingles", "node")
-    stands = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    placed = stands.join(clusters, "node").select(
-        "cluster", "node", "doc_id",
+    placed = nodes.select("rep", "node", "n_shingles").join(clusters, "rep").select(
+        "cluster", "node", "rep",
         (F.floor((F.row_number().over(by_size) - 1) / LEAF_DOCS) * (1 << 40) + F.floor((F.sum("n_shingles").over(by_size) - 1) / LEAF_SHINGLES)).alias("block"),
     )
-    payload = text.join(placed, "doc_id").select("text", "node", "cluster", "block")
-    payload = payload.mapInArrow(_payloads(k), "cluster long, block long, node long, shingles binary").dropDuplicates(["node"])
-    blocks = payload.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    wanted = text
+    if clusters.count() <= BROADCAST_ROWS:
+        wanted = text.join(F.broadcast(clusters.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    payload = wanted.join(placed, F.col("doc_id") == F.col("rep")).select("text", "node", "cluster", "block", "rep")
+    payload = payload.mapInArrow(_payloads(k), "cluster long, block long, rep long, shingles binary")
+    blocks = payload.groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
     blocks = scratch.put(blocks, "blocks")
 
     within = blocks.select("members").mapInArrow(_links(num, den, False), "a long, b long")
@@ -292,7 +369,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     across = pairs.join(one, ["cluster", "x"]).join(two, ["cluster", "y"]).select("mx", "my").mapInArrow(_links(num, den, True), "a long, b long")
     linked = components(within.union(across), scratch)
 
-    docs_ = sets.select("doc_id", "n_shingles", "node").join(linked, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("label"))
-    first = docs_.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = docs_.join(first, "label", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = linked.select(F.col("node").alias("rep"), "component")
+    # The least doc_id of a set stands for it, so the least node of a component is its least doc_id.
+    out = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(linked, "rep", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
