@@ -15,17 +15,17 @@ RENAMED = {
     "array_has_any": "arrays_overlap", "array_length": "size", "list_length": "size", "cardinality": "size",
     "array_element": "try_element_at", "list_element": "try_element_at", "array_extract": "try_element_at",
     "array_to_string": "array_join", "list_to_string": "array_join", "array_reverse": "reverse",
-    "array_slice_from": "slice", "make_array": "array", "make_list": "array", "string_to_array": "split",
+    "make_array": "array", "make_list": "array", "string_to_array": "split",
     "array_indexof": "array_position", "list_append": "array_append", "list_sort": "array_sort", "list_distinct": "array_distinct",
     "generate_series": "sequence", "array_intersection": "array_intersect",
     "regexp_match": "regexp_extract_all", "strpos": "instr", "starts_with": "startswith", "ends_with": "endswith",
     "substr_index": "substring_index", "btrim": "trim", "character_length": "char_length",
     "stddev_population": "stddev_pop", "var": "var_samp", "var_population": "var_pop", "var_sample": "var_samp",
     "approx_distinct": "approx_count_distinct", "approx_percentile_cont": "percentile_approx", "string_agg": "listagg",
-    "arrow_typeof": "typeof", "to_char": "date_format", "sha384_hex": "sha2", "today": "current_date",
+    "arrow_typeof": "typeof", "to_char": "date_format", "today": "current_date",
     "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis", "to_timestamp_micros": "timestamp_micros",
     "to_unixtime": "unix_timestamp", "make_map": "map", "map_extract": "element_at", "row": "struct", "ifnull": "coalesce",
-    "random": "rand", "power_of": "power", "log_natural": "ln",
+    "random": "rand", 
 }
 
 #: name(parameters) RETURNS type: body
@@ -33,14 +33,12 @@ DEFINED = [
     ("gcd", "a BIGINT, b BIGINT", "BIGINT", "aggregate(sequence(1, 93), struct(abs(a) AS x, abs(b) AS y), (s, i) -> struct(IF(s.y = 0, s.x, s.y) AS x, IF(s.y = 0, 0L, s.x % s.y) AS y), s -> s.x)"),
     ("lcm", "a BIGINT, b BIGINT", "BIGINT", "IF(a = 0 OR b = 0, 0L, abs(a div aggregate(sequence(1, 93), struct(abs(a) AS x, abs(b) AS y), (s, i) -> struct(IF(s.y = 0, s.x, s.y) AS x, IF(s.y = 0, 0L, s.x % s.y) AS y), s -> s.x) * b))"),
     ("iszero", "x DOUBLE", "BOOLEAN", "x = 0"),
-    ("trunc_number", "x DOUBLE, n INT", "DOUBLE", "IF(x < 0, ceil(x * power(10, n)), floor(x * power(10, n))) / power(10, n)"),
-    ("date_bin", "stride INTERVAL DAY TO SECOND, t TIMESTAMP_NTZ, origin TIMESTAMP_NTZ", "TIMESTAMP_NTZ", "origin + floor(extract(EPOCH_US_OF FROM t)) * stride"),
+    ("trunc_to", "x DOUBLE, n INT", "DOUBLE", "IF(x < 0, ceil(x * power(10, n)), floor(x * power(10, n))) / power(10, n)"),
     ("sha224", "x STRING", "STRING", "sha2(x, 224)"),
     ("sha256", "x STRING", "STRING", "sha2(x, 256)"),
     ("sha384", "x STRING", "STRING", "sha2(x, 384)"),
     ("sha512", "x STRING", "STRING", "sha2(x, 512)"),
     ("to_hex", "x BIGINT", "STRING", "lower(hex(x))"),
-    ("nanvl_or", "x DOUBLE, y DOUBLE", "DOUBLE", "nanvl(x, y)"),
     ("array_pop_back", "a ARRAY<STRING>", "ARRAY<STRING>", "slice(a, 1, greatest(size(a) - 1, 0))"),
     ("array_pop_front", "a ARRAY<STRING>", "ARRAY<STRING>", "slice(a, 2, greatest(size(a) - 1, 0))"),
     ("array_has_all", "a ARRAY<STRING>, b ARRAY<STRING>", "BOOLEAN", "size(array_except(b, a)) = 0"),
@@ -48,15 +46,17 @@ DEFINED = [
     ("array_positions", "a ARRAY<STRING>, x STRING", "ARRAY<BIGINT>", "transform(filter(sequence(1, greatest(size(a), 1)), i -> try_element_at(a, i) = x), i -> CAST(i AS BIGINT))"),
 ]
 
-#: Binning is by microseconds from the origin, which has to be read as plain numbers.
-DEFINED = [d for d in DEFINED if d[0] != "date_bin"] + [
+#: Microseconds of a day-time interval.
+_STRIDE = "CAST(extract(SECOND FROM stride) * 1000000 + (extract(MINUTE FROM stride) * 60 + extract(HOUR FROM stride) * 3600 + extract(DAY FROM stride) * 86400) * 1000000 AS BIGINT)"
+_MICROS = "unix_micros(CAST({} AS TIMESTAMP))"
+DEFINED.append(
     (
         "date_bin",
         "stride INTERVAL DAY TO SECOND, t TIMESTAMP_NTZ, origin TIMESTAMP_NTZ",
         "TIMESTAMP_NTZ",
-        "CAST(timestamp_micros(unix_micros(CAST(origin AS TIMESTAMP)) + CAST(floor((unix_micros(CAST(t AS TIMESTAMP)) - unix_micros(CAST(origin AS TIMESTAMP))) / CAST(extract(SECOND FROM stride) * 1000000 + (extract(MINUTE FROM stride) * 60 + extract(HOUR FROM stride) * 3600 + extract(DAY FROM stride) * 86400) * 1000000 AS BIGINT)) AS BIGINT) * CAST(extract(SECOND FROM stride) * 1000000 + (extract(MINUTE FROM stride) * 60 + extract(HOUR FROM stride) * 3600 + extract(DAY FROM stride) * 86400) * 1000000 AS BIGINT)) AS TIMESTAMP_NTZ)",
+        f"CAST(timestamp_micros({_MICROS.format('origin')} + CAST(floor(({_MICROS.format('t')} - {_MICROS.format('origin')}) / {_STRIDE}) AS BIGINT) * {_STRIDE}) AS TIMESTAMP_NTZ)",
     )
-]
+)
 
 
 def register(spark: SparkSession) -> None:

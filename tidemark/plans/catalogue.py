@@ -9,10 +9,10 @@ the SQL are what is compared.
 from __future__ import annotations
 
 import atexit
-import hashlib
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +39,14 @@ def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine whose tables are bulk-loaded from sf_dir, made once for each session and folder."""
     key = (id(spark.sparkContext), sf_dir)
     if key not in _engines:
-        # The engine's files belong in a folder that driver and executors share.
-        shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-        root = tempfile.mkdtemp(prefix="tidemark-engine-", dir=shared if shared and os.path.isdir(shared) else None)
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        _engines[key] = Engine(spark, os.path.join(root, hashlib.md5(sf_dir.encode()).hexdigest()[:8]))
+        # The engine's files belong in a folder that driver and executors share; only tests have none.
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            root = f"{shared.rstrip('/')}/tidemark-engine-{uuid.uuid4().hex}"
+        else:
+            root = tempfile.mkdtemp(prefix="tidemark-engine-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _engines[key] = Engine(spark, root)
     return _engines[key]
 
 
@@ -54,10 +57,7 @@ def loaded(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
             continue
         df = engine.spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("time", F.expr(TIMES[name]).cast("long"))
         engine.create_table(name, df.select("time", *[c for c in df.columns if c != "time"]).schema)
-        staged = f"{engine.store.uri}/staged-{name}"
-        df.write.mode("overwrite").parquet(staged)
-        engine.bulk_load(name, [f"{staged}/{f}" for f in sorted(os.listdir(staged)) if f.endswith(".parquet")])
-        shutil.rmtree(staged)
+        _load(engine, name, df)
     return engine
 
 
@@ -175,10 +175,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load(engine: Engine, name: str, df: DataFrame) -> None:
-    staged = f"{engine.store.uri}/staged-{name}"
-    df.write.mode("overwrite").parquet(staged)
-    engine.bulk_load(name, [f"{staged}/{f}" for f in sorted(os.listdir(staged)) if f.endswith(".parquet")])
-    shutil.rmtree(staged)
+    """Through Parquet files and a bulk load, in order of their names."""
+    staged = f"staged-{name}"
+    df.write.mode("overwrite").parquet(f"{engine.store.uri}/{staged}")
+    engine.bulk_load(name, [f"{engine.store.uri}/{staged}"])
+    engine.store.fs.delete_dir(f"{engine.store.root}/{staged}")
 
 
 def dedup_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
