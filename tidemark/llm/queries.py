@@ -83,6 +83,7 @@ SQL: dict[str, str] = {
     "op1_exact_topk": sql.OP1,
     "op2_source_mixing": sql.OP2,
     "op3_preference_format": sql.OP3,
+    "op4_line_dedup": sql.OP4,
     "op6_ngram_jaccard_join": sql.OP6,
     "op8_decontamination": sql.OP8,
     "op9_secret_scan": sql.OP9,

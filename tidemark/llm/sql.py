@@ -88,6 +88,30 @@ SELECT pair_id, part, chosen_id, rejected_id, n_prefix_turns, prompt, chosen, CA
 FROM g JOIN p USING (pair_id)
 """
 
+#: Forms within one edit agree in a half, at its start or its end; the first place where two differ tells the rest.
+OP4 = """
+WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, no, lower(trim(x[no + 1], ' ' || chr(9) || chr(13) || chr(12) || chr(11))) AS f
+  FROM (SELECT doc_id, x, unnest(range(0, len(x))) AS no FROM s)),
+o AS (SELECT * FROM l WHERE length(f) >= 30),
+n AS (SELECT f, length(f) AS m FROM o GROUP BY f),
+k AS (
+  SELECT f, m AS k, 1 AS seg, substr(f, 1, m // 2) AS s, true AS own FROM n UNION ALL
+  SELECT f, m, 2, substr(f, m // 2 + 1), true FROM n UNION ALL
+  SELECT f, m - 1, 1, substr(f, 1, (m - 1) // 2), false FROM n UNION ALL
+  SELECT f, m - 1, 2, substr(f, m - (m - 1 - (m - 1) // 2) + 1), false FROM n),
+c AS (SELECT DISTINCT a.f AS x, b.f AS y, a.k AS m FROM k a JOIN k b ON a.own AND a.k = b.k AND a.seg = b.seg AND a.s = b.s AND a.f <> b.f),
+d AS (SELECT x, y, m, coalesce(list_position(list_transform(range(1, m + 1), lambda i: substr(x, i, 1) = substr(y, i, 1)), false), m + 1) AS p FROM c),
+e AS (SELECT x, y FROM d WHERE substr(x, CAST(CASE WHEN length(y) = m THEN p + 1 ELSE p END AS BIGINT)) = substr(y, p + 1)),
+links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(x, y) AS (SELECT f, f FROM n UNION SELECT r.x, q.y FROM reach r JOIN links q ON r.y = q.x),
+classes AS (SELECT x AS f, min(y) AS class FROM reach GROUP BY x),
+r AS (SELECT doc_id, no, row_number() OVER (PARTITION BY class ORDER BY doc_id, no) AS rn FROM o JOIN classes USING (f)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(no, ',' ORDER BY no) AS removed FROM r WHERE rn > 1 GROUP BY doc_id)
+SELECT t.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents t LEFT JOIN g ON t.doc_id = g.doc_id
+"""
+
 OP8 = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: w <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
