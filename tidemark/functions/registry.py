@@ -25,7 +25,9 @@ RENAMED = {
     "arrow_typeof": "typeof", "to_char": "date_format", "today": "current_date",
     "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis", "to_timestamp_micros": "timestamp_micros",
     "to_unixtime": "unix_timestamp", "make_map": "map", "map_extract": "element_at", "row": "struct", "ifnull": "coalesce",
-    "random": "rand", 
+    "random": "rand", "trunc": "trunc_to", "encode": "encode_text", "decode": "decode_text", "array_slice": "array_between",
+    "list_slice": "array_between", "array_remove": "array_remove_first", "array_remove_all": "array_remove", "digest": "digest_of",
+    "datepart": "date_part", 
 }
 
 #: name(parameters) RETURNS type: body
@@ -33,7 +35,15 @@ DEFINED = [
     ("gcd", "a BIGINT, b BIGINT", "BIGINT", "aggregate(sequence(1, 93), struct(abs(a) AS x, abs(b) AS y), (s, i) -> struct(IF(s.y = 0, s.x, s.y) AS x, IF(s.y = 0, 0L, s.x % s.y) AS y), s -> s.x)"),
     ("lcm", "a BIGINT, b BIGINT", "BIGINT", "IF(a = 0 OR b = 0, 0L, abs(a div aggregate(sequence(1, 93), struct(abs(a) AS x, abs(b) AS y), (s, i) -> struct(IF(s.y = 0, s.x, s.y) AS x, IF(s.y = 0, 0L, s.x % s.y) AS y), s -> s.x) * b))"),
     ("iszero", "x DOUBLE", "BOOLEAN", "x = 0"),
-    ("trunc_to", "x DOUBLE, n INT", "DOUBLE", "IF(x < 0, ceil(x * power(10, n)), floor(x * power(10, n))) / power(10, n)"),
+    ("trunc_to", "x DOUBLE, n INT DEFAULT 0", "DOUBLE", "IF(x < 0, ceil(x * power(10, n)), floor(x * power(10, n))) / power(10, n)"),
+    ("encode_text", "x STRING, how STRING", "STRING", "CASE lower(how) WHEN 'hex' THEN lower(hex(x)) WHEN 'base64' THEN replace(base64(CAST(x AS BINARY)), '=', '') END"),
+    ("decode_text", "x STRING, how STRING", "BINARY", "CASE lower(how) WHEN 'hex' THEN unhex(x) WHEN 'base64' THEN unbase64(concat(x, repeat('=', (4 - length(x) % 4) % 4))) END"),
+    ("digest_of", "x STRING, how STRING", "STRING", "CASE lower(how) WHEN 'md5' THEN md5(x) WHEN 'sha224' THEN sha2(x, 224) WHEN 'sha256' THEN sha2(x, 256) WHEN 'sha384' THEN sha2(x, 384) WHEN 'sha512' THEN sha2(x, 512) END"),
+    ("array_between", "a ARRAY<STRING>, lo INT, hi INT", "ARRAY<STRING>", "slice(a, lo, greatest(hi - lo + 1, 0))"),
+    ("array_remove_first", "a ARRAY<STRING>, x STRING", "ARRAY<STRING>", "filter(a, (e, i) -> i + 1 <> array_position(a, x))"),
+    ("array_remove_n", "a ARRAY<STRING>, x STRING, n INT", "ARRAY<STRING>", "filter(a, (e, i) -> e <> x OR size(filter(slice(a, 1, i + 1), y -> y = x)) > n)"),
+    ("array_replace", "a ARRAY<STRING>, x STRING, y STRING", "ARRAY<STRING>", "transform(a, (e, i) -> IF(i + 1 = array_position(a, x), y, e))"),
+    ("array_resize", "a ARRAY<STRING>, n INT, x STRING", "ARRAY<STRING>", "slice(concat(a, array_repeat(x, greatest(n - size(a), 0))), 1, n)"),
     ("sha224", "x STRING", "STRING", "sha2(x, 224)"),
     ("sha256", "x STRING", "STRING", "sha2(x, 256)"),
     ("sha384", "x STRING", "STRING", "sha2(x, 384)"),
