@@ -44,7 +44,7 @@ from .common import sample_ids
 from .logistic import logistic
 
 PER_CLASS, MIN_TEXTS, MIN_ODDS, STEMS = 4000, 8, 12.0, 5000
-STEM_LENGTHS = (4, 5, 6)
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 # Closed classes of the four languages; plain grammar words, not learned.
 TARGETS = frozenset("you your yours he she him her they them du dich dir ihr euch er sie tu toi te vous vos il elle ils elles eux usted ustedes tú él ella ellos ellas".split())
