@@ -369,6 +369,9 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     across = pairs.join(one, ["cluster", "x"]).join(two, ["cluster", "y"]).select("mx", "my").mapInArrow(_links(num, den, True), "a long, b long")
     linked = components(within.union(across), scratch)
 
+    # The links are written: what led to them has done its work.
+    for done in (met, lists, clusters, blocks, pairs):
+        scratch.drop(done)
     linked = linked.select(F.col("node").alias("rep"), "component")
     # The least doc_id of a set stands for it, so the least node of a component is its least doc_id.
     out = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(linked, "rep", "left")
