@@ -11,23 +11,20 @@ from pyspark.sql import SparkSession
 
 #: Name in the text -> Spark's name.
 RENAMED = {
-    "array_concat": "concat", "array_cat": "concat", "array_has": "array_contains", "list_has": "array_contains",
-    "array_has_any": "arrays_overlap", "array_length": "size", "list_length": "size", "cardinality": "size",
-    "array_element": "try_element_at", "list_element": "try_element_at", "array_extract": "try_element_at",
-    "array_to_string": "array_join", "list_to_string": "array_join", "array_reverse": "reverse",
-    "make_array": "array", "make_list": "array", "string_to_array": "split",
-    "array_indexof": "array_position", "list_append": "array_append", "list_sort": "array_sort", "list_distinct": "array_distinct",
-    "generate_series": "sequence", "array_intersection": "array_intersect",
-    "regexp_match": "regexp_extract_all", "strpos": "instr", "starts_with": "startswith", "ends_with": "endswith",
+    "array_concat": "concat", "array_cat": "concat", "array_has": "array_contains",
+    "array_has_any": "arrays_overlap", "array_length": "size", "cardinality": "size",
+    "array_element": "try_element_at", "array_extract": "try_element_at",
+    "array_to_string": "array_join", "array_reverse": "reverse",
+    "make_array": "array", "make_list": "array", "generate_series": "sequence", "array_intersection": "array_intersect",
+    "strpos": "instr", "starts_with": "startswith", "ends_with": "endswith",
     "substr_index": "substring_index", "btrim": "trim", "character_length": "char_length",
     "stddev_population": "stddev_pop", "var": "var_samp", "var_population": "var_pop", "var_sample": "var_samp",
     "approx_distinct": "approx_count_distinct", "approx_percentile_cont": "percentile_approx", "string_agg": "listagg",
-    "arrow_typeof": "typeof", "to_char": "date_format", "today": "current_date",
+    "arrow_typeof": "typeof", "today": "current_date",
     "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis", "to_timestamp_micros": "timestamp_micros",
-    "to_unixtime": "unix_timestamp", "make_map": "map", "map_extract": "element_at", "row": "struct", "ifnull": "coalesce",
-    "random": "rand", "trunc": "trunc_to", "encode": "encode_text", "decode": "decode_text", "array_slice": "array_between",
-    "list_slice": "array_between", "array_remove": "array_remove_first", "array_remove_all": "array_remove", "digest": "digest_of",
-    "datepart": "date_part", 
+    "to_unixtime": "unix_timestamp", "make_map": "map", "row": "struct", "ifnull": "coalesce",
+    "random": "rand", "trunc": "trunc_to", "encode": "encode_text", "decode": "decode_text", "digest": "digest_of",
+    "datepart": "date_part", "datetrunc": "date_trunc",
 }
 
 #: name(parameters) RETURNS type: body
@@ -39,21 +36,11 @@ DEFINED = [
     ("encode_text", "x STRING, how STRING", "STRING", "CASE lower(how) WHEN 'hex' THEN lower(hex(x)) WHEN 'base64' THEN replace(base64(CAST(x AS BINARY)), '=', '') END"),
     ("decode_text", "x STRING, how STRING", "BINARY", "CASE lower(how) WHEN 'hex' THEN unhex(x) WHEN 'base64' THEN unbase64(concat(x, repeat('=', (4 - length(x) % 4) % 4))) END"),
     ("digest_of", "x STRING, how STRING", "STRING", "CASE lower(how) WHEN 'md5' THEN md5(x) WHEN 'sha224' THEN sha2(x, 224) WHEN 'sha256' THEN sha2(x, 256) WHEN 'sha384' THEN sha2(x, 384) WHEN 'sha512' THEN sha2(x, 512) END"),
-    ("array_between", "a ARRAY<STRING>, lo INT, hi INT", "ARRAY<STRING>", "slice(a, lo, greatest(hi - lo + 1, 0))"),
-    ("array_remove_first", "a ARRAY<STRING>, x STRING", "ARRAY<STRING>", "filter(a, (e, i) -> i + 1 <> array_position(a, x))"),
-    ("array_remove_n", "a ARRAY<STRING>, x STRING, n INT", "ARRAY<STRING>", "filter(a, (e, i) -> e <> x OR size(filter(slice(a, 1, i + 1), y -> y = x)) > n)"),
-    ("array_replace", "a ARRAY<STRING>, x STRING, y STRING", "ARRAY<STRING>", "transform(a, (e, i) -> IF(i + 1 = array_position(a, x), y, e))"),
-    ("array_resize", "a ARRAY<STRING>, n INT, x STRING", "ARRAY<STRING>", "slice(concat(a, array_repeat(x, greatest(n - size(a), 0))), 1, n)"),
     ("sha224", "x STRING", "STRING", "sha2(x, 224)"),
     ("sha256", "x STRING", "STRING", "sha2(x, 256)"),
     ("sha384", "x STRING", "STRING", "sha2(x, 384)"),
     ("sha512", "x STRING", "STRING", "sha2(x, 512)"),
     ("to_hex", "x BIGINT", "STRING", "lower(hex(x))"),
-    ("array_pop_back", "a ARRAY<STRING>", "ARRAY<STRING>", "slice(a, 1, greatest(size(a) - 1, 0))"),
-    ("array_pop_front", "a ARRAY<STRING>", "ARRAY<STRING>", "slice(a, 2, greatest(size(a) - 1, 0))"),
-    ("array_has_all", "a ARRAY<STRING>, b ARRAY<STRING>", "BOOLEAN", "size(array_except(b, a)) = 0"),
-    ("array_replace_all", "a ARRAY<STRING>, x STRING, y STRING", "ARRAY<STRING>", "transform(a, e -> IF(e = x, y, e))"),
-    ("array_positions", "a ARRAY<STRING>, x STRING", "ARRAY<BIGINT>", "transform(filter(sequence(1, greatest(size(a), 1)), i -> try_element_at(a, i) = x), i -> CAST(i AS BIGINT))"),
 ]
 
 #: Microseconds of a day-time interval.

@@ -147,6 +147,8 @@ TEXTS: dict[str, tuple[str, str, str | None]] = {
     "fn_conditional": ("events", "SELECT event_id, nullif(event_type, 'click') AS n, coalesce(nullif(event_type, 'click'), 'none') AS c, greatest(value, 50.0) AS g, least(value, 50.0) AS l, ifnull(nullif(event_type, 'view'), 'v') AS i FROM events", None),
     "fn_dates": ("events", "SELECT event_id, extract(YEAR FROM ts) AS y, date_part('hour', ts) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS d, to_char(ts, 'yyyy-MM-dd') AS s, date_bin(INTERVAL '15' MINUTE, ts, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS b FROM events", "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, CAST(date_part('hour', ts) AS INTEGER) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, strftime(ts, '%Y-%m-%d') AS s, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01') AS b FROM events"),
     "fn_arrays": ("nation", "SELECT n_nationkey, array_to_string(array_concat(make_array('a', n_name), make_array('z')), '-') AS j, array_length(make_array(1, 2, 3)) AS n, array_has(make_array(1, 5, n_nationkey), 5) AS h, array_element(make_array(7, 8), 2) AS e, array_position(make_array(4, 5), 5) AS p FROM nation", "SELECT n_nationkey, 'a-' || n_name || '-z' AS j, 3 AS n, true AS h, 8 AS e, 2 AS p FROM nation"),
+    "fn_arrays_typed": ("nation", "SELECT n_nationkey, array_element(array_slice(make_array(n_nationkey, 20, 30, 40), -3, -2), 2) AS sl, array_element(array_replace_all(make_array(1, n_nationkey, 1), 1, 9), 1) AS rp, array_length(array_remove_all(make_array(n_nationkey, 3, 4), 3)) AS rm, array_position(make_array(7, 8), n_nationkey) AS po, array_element(array_sort(make_array(n_nationkey, 12), 'DESC'), 1) AS so FROM nation", "SELECT n_nationkey, 30 AS sl, 9 AS rp, CASE WHEN n_nationkey = 3 THEN 1 ELSE 2 END AS rm, CAST(CASE n_nationkey WHEN 7 THEN 1 WHEN 8 THEN 2 END AS BIGINT) AS po, greatest(n_nationkey, 12) AS so FROM nation"),
+    "agg_ordered": ("nation", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS a, string_agg(n_name, '|' ORDER BY n_name) AS s, first_value(n_name ORDER BY n_nationkey) AS f, last_value(n_name ORDER BY n_nationkey) AS l FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS a, string_agg(n_name, '|' ORDER BY n_name) AS s, first(n_name ORDER BY n_nationkey) AS f, last(n_name ORDER BY n_nationkey) AS l FROM nation GROUP BY n_regionkey"),
     "fn_hash": ("nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, to_hex(n_nationkey) AS h FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, lower(to_hex(n_nationkey)) AS h FROM nation"),
     "fn_struct_map": ("nation", "SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey).b AS b, element_at(map('k', n_name), 'k') AS m FROM nation", "SELECT n_nationkey, n_regionkey AS b, n_name AS m FROM nation"),
     # Benchmark-like
