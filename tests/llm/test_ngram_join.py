@@ -67,3 +67,18 @@ def test_nulls_repeats_clashing_columns_and_empty(spark):
     got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3)], key=str)
     assert ngram_join(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_doc_id_with_several_texts(spark):
+    r = random.Random(11)
+    rows = []
+    for g in range(12):
+        for i in (0, 1):
+            w = [f"g{g}t{i}w{r.randrange(10**6)}" for _ in range(120)]
+            rows.append((10 * g, " ".join(w)))
+            rows.append((10 * g + 1 + i, " ".join([*w[:60], "other", *w[61:]])))
+    # A third document has both near copies' opening, so that its company holds both texts of one doc_id.
+    both = [" ".join((a + " " + b).split()) for (_, a), (_, b) in zip(rows[0::4], rows[2::4], strict=True)]
+    rows += [(10 * g + 5, t) for g, t in enumerate(both)]
+    got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    assert got == brute(rows, 3, 90, 100)

@@ -25,7 +25,9 @@ shingles is at least num/den. The join is exact up to 64-bit hash collisions:
 
 Null or wordless texts have empty sets and link with nothing. Rows without
 doc_id take no part: their component_id is null. Repeated doc_ids are rows of
-their own and count as one document in component_id. Other columns are ignored.
+their own; with different texts they are different nodes. Nodes are known by
+the hash of their sets throughout, and a component_id is the least doc_id of
+the component's nodes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def _sets(k: int):
 
 
 def _keys(k: int, num: int, den: int):
-    """Rows (doc_id, key); of equal sets that one task meets, just the first gives any."""
+    """Rows (node, key); of equal sets that one task meets, just the first gives any."""
 
     def run(batches):
         classes, seen = SizeClasses(num, den), set()
@@ -124,16 +126,16 @@ def _keys(k: int, num: int, den: int):
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 ids, keys = [], []
-                for i, t in zip(part.column(0), part.column(1), strict=True):
+                for t in part.column(0):
                     h = shingle_set(t.as_py(), k)
                     if not len(h) or (x := node_of(h)) in seen:
                         continue
                     seen.add(x)
                     own = cell_keys(h, classes)
-                    ids.append(np.full(len(own), i.as_py(), np.int64))
+                    ids.append(np.full(len(own), x, np.int64))
                     keys.append(own)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["doc_id", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["node", "key"])
 
     return run
 
@@ -145,7 +147,7 @@ def _bucket_edges(num: int, den: int):
         for batch in batches:
             found = []
             for cell in batch.column(0):
-                members = list({x["rep"]: x for x in cell.as_py()}.values())
+                members = cell.as_py()
                 k = len(members)
                 size = min(len(x["bits"]) for x in members)
                 bits = np.stack([np.bitwise_or.reduce(np.frombuffer(x["bits"], np.uint64).reshape(-1, size // 8), axis=0) for x in members])
@@ -159,7 +161,7 @@ def _bucket_edges(num: int, den: int):
                     for x in j[most * (den + num) >= num * (n[i] + n[j])].tolist():
                         if part[x] != part[i]:
                             part[part == part[x]] = part[i]
-                            found.append((members[i]["rep"], members[x]["rep"]))
+                            found.append((members[i]["node"], members[x]["node"]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
@@ -171,11 +173,11 @@ def _payloads(k: int):
 
     def run(batches):
         for b in batches:
-            rows = {x: [] for x in ("cluster", "block", "rep", "shingles")}
-            for t, node, cluster, block, rep in zip(*(b.column(i) for i in range(5)), strict=True):
+            rows = {x: [] for x in ("cluster", "block", "node", "shingles")}
+            for t, node, cluster, block in zip(*(b.column(i) for i in range(4)), strict=True):
                 h = shingle_set(t.as_py(), k)
                 if len(h) and node_of(h) == node.as_py():
-                    for x, v in zip(rows, (cluster.as_py(), block.as_py(), rep.as_py(), h.tobytes()), strict=True):
+                    for x, v in zip(rows, (cluster.as_py(), block.as_py(), node.as_py(), h.tobytes()), strict=True):
                         rows[x].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if x == "shingles" else pa.int64()) for x, v in rows.items()], names=list(rows))
 
@@ -279,7 +281,7 @@ def block_links(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]]
 
 def _unpack(cell) -> list[tuple[int, np.ndarray]]:
     # Rows that repeat a document give its set again.
-    return [(rep, np.frombuffer(h, np.uint64)) for rep, h in {(x["rep"], x["shingles"]) for x in cell.as_py()}]
+    return [(node, np.frombuffer(h, np.uint64)) for node, h in {(x["node"], x["shingles"]) for x in cell.as_py()}]
 
 
 def _links(num: int, den: int, two: bool):
@@ -330,34 +332,30 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     sets = scratch.put(text.mapInArrow(_sets(k), "doc_id long, n_shingles long, node long, bits binary"), "sets")
     usable = sets.filter("doc_id is not null and node is not null")
     nodes = scratch.put(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "nodes")
-    # doc_id -> the document that stands for its set.
-    who = usable.select("doc_id", "node").join(nodes.select("node", "rep"), "node").select("doc_id", "rep")
 
-    entries = text.filter("doc_id is not null").mapInArrow(_keys(k, num, den), "doc_id long, key long")
+    entries = text.filter("doc_id is not null").select("text").mapInArrow(_keys(k, num, den), "node long, key long")
     by_key = Window.partitionBy("key")
-    met = entries.withColumns({"size": F.count("*").over(by_key), "least": F.min("doc_id").over(by_key)}).filter("size > 1")
+    met = entries.withColumns({"size": F.count("*").over(by_key), "least": F.min("node").over(by_key)}).filter("size > 1")
     met = scratch.put(met, "met")
     # Keys are many, but most have the members of another key: each company is compared once.
-    lists = met.filter(F.col("size") <= BUCKET).join(who, "doc_id").groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
-    lists = scratch.put(lists.filter(F.size("reps") > 1).select("reps").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
-    buckets = lists.select("list", F.explode("reps").alias("rep")).join(nodes, "rep").groupBy("list").agg(F.collect_list(F.struct("rep", "n_shingles", "bits")).alias("members"))
+    lists = met.filter(F.col("size") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("company"))
+    lists = scratch.put(lists.filter(F.size("company") > 1).select("company").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
+    buckets = lists.select("list", F.explode("company").alias("node")).join(nodes, "node").groupBy("list").agg(F.collect_list(F.struct("node", "n_shingles", "bits")).alias("members"))
     edges = buckets.select("members").mapInArrow(_bucket_edges(num, den), "a long, b long")
-    # Copies in different tasks are in the same parts through the documents that stand for them.
-    large = met.filter(F.col("size") > BUCKET).filter("doc_id <> least").select("doc_id", "least").distinct()
-    large = large.join(who, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("doc_id")).join(who, "doc_id").select("a", F.col("rep").alias("b"))
-    clusters = scratch.put(components(edges.union(large), scratch).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
+    large = met.filter(F.col("size") > BUCKET).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    clusters = scratch.put(components(edges.union(large), scratch).select("node", F.col("component").alias("cluster")), "clusters")
 
     by_size = Window.partitionBy("cluster").orderBy("n_shingles", "node")
-    placed = nodes.select("rep", "node", "n_shingles").join(clusters, "rep").select(
+    placed = nodes.select("rep", "node", "n_shingles").join(clusters, "node").select(
         "cluster", "node", "rep",
         (F.floor((F.row_number().over(by_size) - 1) / LEAF_DOCS) * (1 << 40) + F.floor((F.sum("n_shingles").over(by_size) - 1) / LEAF_SHINGLES)).alias("block"),
     )
     wanted = text
     if clusters.count() <= BROADCAST_ROWS:
-        wanted = text.join(F.broadcast(clusters.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    payload = wanted.join(placed, F.col("doc_id") == F.col("rep")).select("text", "node", "cluster", "block", "rep")
-    payload = payload.mapInArrow(_payloads(k), "cluster long, block long, rep long, shingles binary")
-    blocks = payload.groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
+        wanted = text.join(F.broadcast(nodes.join(clusters, "node").select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    payload = wanted.join(placed, F.col("doc_id") == F.col("rep")).select("text", "node", "cluster", "block")
+    payload = payload.mapInArrow(_payloads(k), "cluster long, block long, node long, shingles binary")
+    blocks = payload.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     blocks = scratch.put(blocks, "blocks")
 
     within = blocks.select("members").mapInArrow(_links(num, den, False), "a long, b long")
@@ -372,7 +370,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     # The links are written: what led to them has done its work.
     for done in (met, lists, clusters, blocks, pairs):
         scratch.drop(done)
-    linked = linked.select(F.col("node").alias("rep"), "component")
-    # The least doc_id of a set stands for it, so the least node of a component is its least doc_id.
-    out = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(linked, "rep", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    least = nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    out = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(linked, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")).alias("component_id"))
