@@ -1,5 +1,7 @@
+import dataclasses
 import json
 import os
+import time
 
 import pytest
 
@@ -130,3 +132,30 @@ def test_sinks_without_connector_fail_for_good(engine):
     engine.streams.wait("q")
     assert engine.streams.phase("q") == "failed"
     assert "not available" in engine.query("SHOW STREAM STATUS FOR q").collect()[0]["step"]
+
+
+def test_load_met_halfway_leaves_whole(engine, tmp_path, monkeypatch):
+    class Slow:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            self.fs.move(a, b)
+            time.sleep(5)
+
+    out, given = tmp_path / "out", str(tmp_path / "given.parquet")
+    insert(engine, 0, 10)
+    engine.execute("FLUSH TABLE m")
+    engine.execute(f"CREATE STREAM s WITH ('source.table'='m', 'sink.type'='filesystem', 'sink.filesystem.path'='{out}')")
+    engine.streams.wait("s")
+    engine.spark.createDataFrame([(1800000000000 + i, "east", i) for i in range(10, 400)], "time long, region string, value long").coalesce(1).write.parquet(given)
+    file = next(os.path.join(given, f) for f in os.listdir(given) if f.endswith(".parquet"))
+    monkeypatch.setattr(engine.store, "config", dataclasses.replace(engine.store.config, file_bytes=os.path.getsize(file) // 3 + 1))
+    monkeypatch.setattr(engine.store, "fs", Slow(engine.store.fs))
+    engine.bulk_load("m", [file])
+    engine.streams.wait("s")
+    assert len({f.path for f in engine.store.table("m").files if f.lsn_max > 1}) > 1
+    assert sorted(r["value"] for r in engine.spark.read.parquet(f"{out}/*.parquet").collect()) == list(range(400))

@@ -2,7 +2,9 @@
 
 A stream reads the files of its table as a file stream; hybrid ones read the
 files of unflushed writes too. Each micro-batch keeps the rows past the
-stream's LSN, hands them to the sink in order, and moves the LSN on. The
+stream's LSN, adds those that the manifest holds up to the batch's last LSN (a
+listing may have met an LSN's files halfway, or missed what a flush moved),
+hands them to the sink in order, and moves the LSN on. The
 checkpoint is the record of what was read, the batch id makes commits
 repeatable, and the LSN keeps a row from leaving twice when a flush or a
 compaction brings it again in another file.
@@ -108,11 +110,19 @@ class Streams:
             state = self.store.streams.get(d.name)
             if state is None:
                 return
-            fresh = batch.filter(F.col(LSN) > state["acked_lsn"])
-            top = fresh.agg(F.max(LSN)).first()[0]
-            if top is None:
-                return
-            rows = fresh.dropDuplicates([LSN, ORD]).orderBy(LSN, ORD).select(*names)
+            acked, held = state["acked_lsn"], f"{self.store.uri}/_streams/{d.name}/batch"
+            # A load or flush that is under way holds the lock: after it, the manifest has all of its files, and none goes while they are read.
+            with table.lock:
+                batch.filter(F.col(LSN) > acked).write.mode("overwrite").parquet(f"{held}/read")
+                fresh = self.spark.read.schema(schema).parquet(f"{held}/read")
+                top = fresh.agg(F.max(LSN)).first()[0]
+                if top is None:
+                    return
+                files = [f for f in table.files if f.lsn_max > acked and f.lsn_min <= top]
+                if files:
+                    fresh = fresh.union(self.store.read_files(table, files).select(*fresh.columns).filter((F.col(LSN) > acked) & (F.col(LSN) <= top)))
+                fresh.dropDuplicates([LSN, ORD]).write.mode("overwrite").parquet(f"{held}/sent")
+            rows = self.spark.read.schema(schema).parquet(f"{held}/sent").orderBy(LSN, ORD).select(*names)
             wait = FIRST_WAIT
             for attempt in range(RETRIES + 1):
                 try:
