@@ -6,7 +6,7 @@ import time
 import pytest
 
 from tidemark.engine import Engine
-from tidemark.errors import StreamError
+from tidemark.errors import FatalSinkError, StreamError
 from tidemark.streaming import sinks
 from tidemark.streaming.options import define, parse
 
@@ -159,3 +159,15 @@ def test_load_met_halfway_leaves_whole(engine, tmp_path, monkeypatch):
     engine.streams.wait("s")
     assert len({f.path for f in engine.store.table("m").files if f.lsn_max > 1}) > 1
     assert sorted(r["value"] for r in engine.spark.read.parquet(f"{out}/*.parquet").collect()) == list(range(400))
+
+
+def test_kafka_options_of_the_spark_writer(spark):
+    from unittest.mock import MagicMock
+
+    kafka = {"source.table": "m", "sink.type": "kafka", "sink.kafka.brokers": "b", "sink.kafka.topic": "t"}
+    sent = MagicMock()
+    sinks.make_sink(define("s", kafka | {"sink.kafka.partitioner": "fixed"}))._spark_kafka(sent.rows)
+    assert sent.rows.withColumn.called and sent.rows.withColumn.return_value.write.format.called and not sent.rows.write.format.called
+    for more in ({"sink.kafka.partitioner": "round-robin"}, {"sink.kafka.delivery-guarantee": "exactly-once", "sink.kafka.acks": "all", "sink.kafka.transactional.id": "x"}):
+        with pytest.raises(FatalSinkError):
+            sinks.make_sink(define("s", kafka | more))._spark_kafka(MagicMock())

@@ -184,12 +184,15 @@ class MessageSink(Sink):
         rows.foreachPartition(send)
 
     def _spark_kafka(self, rows: DataFrame) -> None:
+        # Spark's writer has neither transactions nor a turn of partitions.
+        if self.o["delivery-guarantee"] == "exactly-once" or self.o["partitioner"] == "round-robin":
+            raise FatalSinkError("kafka: exactly-once and round-robin are not provided by the Spark writer: register a transport")
+        if self.o["partitioner"] == "fixed":
+            rows = rows.withColumn("partition", F.lit(0))
         out = rows.write.format("kafka").option("kafka.bootstrap.servers", self.o["brokers"]).option("topic", self.o["topic"])
         for k in ("compression.type", "batch.size", "linger.ms", "acks", "retries", "security.protocol", "sasl.mechanism"):
             if self.o.get(k):
                 out = out.option(f"kafka.{k}", self.o[k])
-        if self.o["partitioner"] == "fixed":
-            rows = rows.withColumn("partition", F.lit(0))
         try:
             out.save()
         except Exception as e:
