@@ -11,9 +11,11 @@ line end. Turns go by number; rows that share a turn number are one turn, in
 the order of role and text, and repeated rows count once. The prefix ends at
 the first turn number whose rows differ or which one side lacks.
 
-Pairs of ordinary length are one row. Longer ones continue in further rows:
-part counts stretches of PART turn numbers, so no row outgrows those, and the
-prefix is found by a minimum over turns, not by gathering a conversation.
+A pair is one row: its conversations are gathered for it, as it is what one
+training example holds. The prefix is found before, by a minimum over turns.
+Identical conversations are all prompt; identical marks them, and that there is
+nothing to prefer. ``<|`` in roles and texts is written as ``< |``, so that
+nothing in them reads as a mark of turns.
 
 ``by_opening`` makes the pairs where none are given: conversations with the
 same opening turn are alternatives to one prompt, and neighbours by conv_id
@@ -32,13 +34,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART, RANGE = 256, 4096
+RANGE = 4096
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
     """Distinct rows (conv_id, turn, role, text)."""
     rows = conversations.filter("conv_id is not null and turn is not null")
-    return rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |")).alias(c)
+    return rows.select("conv_id", "turn", plain("role"), plain("text")).distinct()
 
 
 def by_opening(turns: DataFrame) -> DataFrame:
@@ -78,34 +81,32 @@ def _mask(turns: Column) -> Column:
 
 
 def paired(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (pair_id, part, chosen_id, rejected_id, n_prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask).
+    """Rows (pair_id, chosen_id, rejected_id, n_prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask, identical).
 
     turns as ``turns_of`` gives them; pairs(pair_id, chosen_id, rejected_id).
-    n_prefix_turns counts the turns of the prompt in this part.
     """
     sides = pairs.select("pair_id", F.col("chosen_id").alias("conv_id"), F.lit(0).alias("side"), F.col("rejected_id").isNull().alias("alone"))
     sides = sides.union(pairs.filter("rejected_id is not null").select("pair_id", F.col("rejected_id").alias("conv_id"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    rows = turns.join(sides, "conv_id").withColumn("part", F.floor(F.col("turn") / PART))
     item = F.struct("turn", "role", "text")
     of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, item)))
-    parts = rows.groupBy("pair_id", "part").agg(of(0).alias("c"), of(1).alias("r"), F.first("alone").alias("alone"))
+    rows = turns.join(sides, "conv_id").groupBy("pair_id").agg(of(0).alias("c"), of(1).alias("r"), F.first("alone").alias("alone"))
 
-    # The first turn that is not the same on both sides, in this part and then in the pair.
+    # The first turn that is not the same on both sides.
     apart = F.concat(F.array_except("c", "r"), F.array_except("r", "c"))
-    parts = parts.withColumn("split", F.when(F.col("alone"), F.array_min(F.transform("c", lambda t: t["turn"]))).otherwise(F.array_min(F.transform(apart, lambda t: t["turn"]))))
-    first = parts.groupBy("pair_id").agg(F.min("split").alias("first"))
-    parts = parts.join(first, "pair_id").join(pairs, "pair_id")
+    first = F.array_min(F.transform(F.when(F.col("alone"), F.col("c")).otherwise(apart), lambda t: t["turn"]))
+    rows = rows.withColumn("first", first).join(pairs, "pair_id")
     last = F.coalesce("first", F.lit((1 << 63) - 1))
     prompt, chosen, rejected = F.filter("c", lambda t: t["turn"] < last), F.filter("c", lambda t: t["turn"] >= last), F.filter("r", lambda t: t["turn"] >= last)
     alone = F.col("alone")
-    return parts.select(
-        "pair_id", "part", "chosen_id", "rejected_id",
+    return rows.select(
+        "pair_id", "chosen_id", "rejected_id",
         F.size(F.array_distinct(F.transform(prompt, lambda t: t["turn"]))).cast("long").alias("n_prefix_turns"),
         _joined(prompt).alias("prompt"),
         _joined(chosen).alias("chosen"),
         F.when(~alone, _joined(rejected)).alias("rejected"),
         _mask(chosen).alias("chosen_mask"),
         F.when(~alone, _mask(rejected)).alias("rejected_mask"),
+        F.col("first").isNull().alias("identical"),
     )
 
 

@@ -53,7 +53,7 @@ SELECT doc_id, source, n_tokens, CAST(epochs + more AS BIGINT) AS copies, ord AS
 """
 
 OP3 = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 o AS (SELECT conv_id, role || chr(10) || text AS k FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM t) WHERE rn = 1),
@@ -68,12 +68,12 @@ r AS (SELECT pair_id, rejected_id IS NULL AS alone, 0 AS side, t.turn, t.role, t
 a AS (SELECT pair_id, min(turn) AS first FROM r WHERE alone OR NOT EXISTS (
   SELECT 1 FROM r x WHERE x.pair_id = r.pair_id AND x.side <> r.side AND x.turn = r.turn AND x.role = r.role AND x.text = r.text)
   GROUP BY pair_id),
-s AS (SELECT r.*, CAST(floor(turn / 256) AS BIGINT) AS part, coalesce(turn < first, true) AS common,
+s AS (SELECT r.*, coalesce(turn < first, true) AS common, first IS NULL AS identical,
     '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS seg
   FROM r LEFT JOIN a USING (pair_id)),
-c AS (SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY pair_id, part, side, common ORDER BY turn, role, text
+c AS (SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY pair_id, side, common ORDER BY turn, role, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 13 AS start FROM s),
-g AS (SELECT pair_id, part, any_value(alone) AS alone,
+g AS (SELECT pair_id, any_value(alone) AS alone, any_value(identical) AS identical,
     count(DISTINCT turn) FILTER (common AND side = 0) AS n_prefix_turns,
     coalesce(string_agg(seg, '' ORDER BY turn, role, text) FILTER (common AND side = 0), '') AS prompt,
     coalesce(string_agg(seg, '' ORDER BY turn, role, text) FILTER (NOT common AND side = 0), '') AS chosen,
@@ -82,9 +82,9 @@ g AS (SELECT pair_id, part, any_value(alone) AS alone,
       FILTER (NOT common AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
     coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(text) AS BIGINT), ',' ORDER BY turn, role, text)
       FILTER (NOT common AND side = 1 AND role = 'assistant'), '') AS rejected_mask
-  FROM c GROUP BY pair_id, part)
-SELECT pair_id, part, chosen_id, rejected_id, n_prefix_turns, prompt, chosen, CASE WHEN NOT alone THEN rejected END AS rejected,
-  chosen_mask, CASE WHEN NOT alone THEN rejected_mask END AS rejected_mask
+  FROM c GROUP BY pair_id)
+SELECT pair_id, chosen_id, rejected_id, n_prefix_turns, prompt, chosen, CASE WHEN NOT alone THEN rejected END AS rejected,
+  chosen_mask, CASE WHEN NOT alone THEN rejected_mask END AS rejected_mask, identical
 FROM g JOIN p USING (pair_id)
 """
 
@@ -117,8 +117,10 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: w <> '') AS w
   FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS s FROM d),
-s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS s FROM i),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0)),
+s AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')) END) AS s FROM i),
 n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found FROM ds JOIN s USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
