@@ -1,6 +1,11 @@
 import hashlib
+import random
 import re
 
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
 from tidemark.llm.secrets import BASE, EXTRA, secret_report, trigram_query
 
 SCHEMA = "doc_id long, text string, spans string, kinds int"
@@ -47,6 +52,57 @@ def test_matches_brute_force(spark):
 
 
 def test_queries_of_the_rules():
-    assert trigram_query(BASE[1].literal) == [["aki", "kia"]]
-    assert trigram_query(BASE[2].literal) is None
-    assert ["api", "key", "pik", "ike"] and sorted(map(tuple, trigram_query("api_?key"))) == sorted([("_ke", "api", "i_k", "key", "pi_"), ("api", "ike", "key", "pik")])
+    assert trigram_query(BASE[1].regex) == [["aki", "kia"]]
+    assert trigram_query(BASE[2].regex) is None
+    assert sorted(map(tuple, trigram_query("api_?key"))) == sorted([("_ke", "api", "i_k", "key", "pi_"), ("api", "ike", "key", "pik")])
+    assert trigram_query("(?:abc|xyz)+d?q{2,}") == [["abc", "bcd", "cdq", "dqq"], ["abc", "bcq", "cqq"], ["dqq", "xyz", "yzd", "zdq"], ["xyz", "yzq", "zqq"]]
+    assert [r.kind for r in BASE + EXTRA if trigram_query(r.regex) is None] == ["hex"]
+
+
+def implied(regex, text):
+    query = trigram_query(regex)
+    return query is None or any(all(t in text.lower() for t in branch) for branch in query)
+
+
+@pytest.mark.parametrize("rule", BASE + EXTRA, ids=lambda r: r.kind)
+def test_a_match_holds_what_its_rule_asks_for(rule):
+    @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(rule.regex, fullmatch=True))
+    def check(text):
+        assert implied(rule.regex, text)
+
+    check()
+
+
+def test_queries_of_random_regexes_lose_no_match():
+    r = random.Random(3)
+
+    def made(depth):
+        if not depth:
+            return r.choice(["a", "b", "abc", "x_", "[ab]", "[a-z]", "[^a]", ".", "cd"])
+        one, two = made(depth - 1), made(depth - 1)
+        return r.choice([one + two, one + two, f"(?:{one}|{two})", f"(?:{one}){r.choice(['?', '*', '+', '{2}', '{2,}', '{1,4}', '{0,2}'])}", f"({one}){two}", f"(?i:{one}){two}"])
+
+    told = 0
+    for _ in range(150):
+        regex = made(r.choice([2, 3, 4]))
+        told += trigram_query(regex) is not None
+
+        @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(regex, fullmatch=True))
+        def check(text):
+            assert implied(regex, text), (regex, text)  # noqa: B023
+
+        check()
+    assert told > 20
+
+
+def test_without_broadcast_and_rules_without_a_query(spark, monkeypatch):
+    import tidemark.llm.secrets as m
+
+    monkeypatch.setattr(m, "BROADCAST_ROWS", -1)
+    rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(2, TEXTS[5], "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [tuple(r)[1:] for r in secret_report(df).collect()]
+    assert sorted(got) == sorted(brute(t) for _, t, *_ in rows)
+    assert {r["doc_id"]: len(r["hex"]) for r in m.secret_scan(df, BASE[2:]).collect()}[6] == 2
