@@ -88,28 +88,35 @@ SELECT pair_id, chosen_id, rejected_id, n_prefix_turns, prompt, chosen, CASE WHE
 FROM g JOIN p USING (pair_id)
 """
 
-#: Forms within one edit agree in a half, at its start or its end; the first place where two differ tells the rest.
+#: Forms of n words, 10 at least, link within t = least(4, greatest(1, n // 30)) edits of words. Such forms share a run of 5 words.
+#: The distance is taken in a band of 9 diagonals: r holds those of a row, and each word c of the longer form makes the next.
 OP4 = """
 WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 l AS (SELECT doc_id, no, lower(trim(x[no + 1], ' ' || chr(9) || chr(13) || chr(12) || chr(11))) AS f
   FROM (SELECT doc_id, x, unnest(range(0, len(x))) AS no FROM s)),
-o AS (SELECT * FROM l WHERE length(f) >= 30),
-n AS (SELECT f, length(f) AS m FROM o GROUP BY f),
-k AS (
-  SELECT f, m AS k, 1 AS seg, substr(f, 1, m // 2) AS s, true AS own FROM n UNION ALL
-  SELECT f, m, 2, substr(f, m // 2 + 1), true FROM n UNION ALL
-  SELECT f, m - 1, 1, substr(f, 1, (m - 1) // 2), false FROM n UNION ALL
-  SELECT f, m - 1, 2, substr(f, m - (m - 1 - (m - 1) // 2) + 1), false FROM n),
-c AS (SELECT DISTINCT a.f AS x, b.f AS y, a.k AS m FROM k a JOIN k b ON a.own AND a.k = b.k AND a.seg = b.seg AND a.s = b.s AND a.f <> b.f),
-d AS (SELECT x, y, m, coalesce(list_position(list_transform(range(1, m + 1), lambda i: substr(x, i, 1) = substr(y, i, 1)), false), m + 1) AS p FROM c),
-e AS (SELECT x, y FROM d WHERE substr(x, CAST(CASE WHEN length(y) = m THEN p + 1 ELSE p END AS BIGINT)) = substr(y, p + 1)),
+o AS (SELECT * FROM l WHERE f <> ''),
+n AS (SELECT f, string_split_regex(f, '[\\x20\\x09-\\x0D]+') AS w FROM (SELECT DISTINCT f FROM o)),
+g AS (SELECT f, len(w) AS n, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
+  FROM n WHERE len(w) >= 10),
+c AS (SELECT DISTINCT a.f AS x, b.f AS y, least(4, greatest(1, a.n // 30)) AS t FROM g a JOIN g b ON a.s = b.s
+  AND b.n - a.n BETWEEN 0 AND least(4, greatest(1, a.n // 30)) AND (a.n < b.n OR a.f < b.f)),
+q AS (SELECT x, y, t, a.w AS xw, b.w AS yw, len(a.w) AS m, len(b.w) AS n FROM c JOIN n a ON a.f = x JOIN n b ON b.f = y),
+d AS (SELECT x, y, t, m, n, list_reduce(list_prepend(
+    {'i': 0::BIGINT, 'm': m, 'c': '', 'a': CAST([] AS VARCHAR[]), 'r': list_transform(range(0, 9), lambda k: CASE WHEN k < 4 THEN 99 ELSE k - 4 END)},
+    list_transform(range(1, n + 1), lambda i: {'i': i, 'm': m, 'c': yw[i], 'a': list_transform(range(i - 4, i + 5), lambda j: CASE WHEN j BETWEEN 1 AND m THEN xw[j] END),
+      'r': CAST([] AS BIGINT[])})),
+    lambda p, z: {'i': z.i, 'm': z.m, 'c': z.c, 'a': z.a, 'r': list_transform([list_transform(range(1, 10), lambda k:
+        CASE WHEN z.i + k - 5 = 0 THEN z.i WHEN z.i + k - 5 < 0 OR z.i + k - 5 > z.m THEN 99
+        ELSE least(coalesce(p.r[k + 1], 99) + 1, p.r[k] + CASE WHEN z.a[k] = z.c THEN 0 ELSE 1 END) END)],
+      lambda u: list_transform(range(1, 10), lambda k: list_min(list_transform(range(1, k + 1), lambda h: u[h] + k - h))))[1]}) AS e FROM q),
+e AS (SELECT x, y FROM d WHERE e.r[m - n + 5] <= t),
 links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach(x, y) AS (SELECT f, f FROM n UNION SELECT r.x, q.y FROM reach r JOIN links q ON r.y = q.x),
 classes AS (SELECT x AS f, min(y) AS class FROM reach GROUP BY x),
 r AS (SELECT doc_id, no, row_number() OVER (PARTITION BY class ORDER BY doc_id, no) AS rn FROM o JOIN classes USING (f)),
-g AS (SELECT doc_id, count(*) AS n, string_agg(no, ',' ORDER BY no) AS removed FROM r WHERE rn > 1 GROUP BY doc_id)
+k AS (SELECT doc_id, count(*) AS n, string_agg(no, ',' ORDER BY no) AS removed FROM r WHERE rn > 1 GROUP BY doc_id)
 SELECT t.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
-FROM documents t LEFT JOIN g ON t.doc_id = g.doc_id
+FROM documents t LEFT JOIN k ON t.doc_id = k.doc_id
 """
 
 OP8 = """
