@@ -56,10 +56,22 @@ def test_matches_brute_force(spark):
 def test_large_cluster_spreads_over_blocks(spark, monkeypatch):
     import tidemark.llm.ngram_join as m
 
-    monkeypatch.setattr(m, "LEAF_DOCS", 8)
+    monkeypatch.setattr(m, "LEAF_DOCS", 4)
+    monkeypatch.setattr(m, "CHUNK", 3)
+    r = random.Random(6)
     rows = made(5, 120)
+    # A crowd of near copies of one size and some of others: blocks by hash and by size.
+    w = [f"x{i}" for i in range(300)]
+    for i in range(60):
+        v = list(w)
+        for _ in range(r.choice([1, 2, 3])):
+            v[r.randrange(300)] = f"y{r.randrange(9)}"
+        rows.append((500 + i, " ".join(v[: 300 - r.choice([0, 0, 0, 2, 5])])))
     got = sorted(map(tuple, m.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows, 3, 90, 100)
+    monkeypatch.setattr(m, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(m, "BUCKET", 8)
+    assert sorted(map(tuple, m.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == got
 
 
 def test_nulls_repeats_clashing_columns_and_empty(spark):
@@ -82,3 +94,16 @@ def test_doc_id_with_several_texts(spark):
     rows += [(10 * g + 5, t) for g, t in enumerate(both)]
     got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
     assert got == brute(rows, 3, 90, 100)
+
+
+def test_repeated_doc_ids_of_different_texts_lose_no_link(spark):
+    rows = []
+    for seed in range(20):
+        r = random.Random(100 + seed)
+        a, b = ([f"s{seed}w{r.randrange(10**6)}" for _ in range(r.randrange(80, 160))] for _ in range(2))
+        near = lambda w, r=r: [*w[: len(w) // 2], "other", *w[len(w) // 2 + 1 :]]
+        here = [(5, a), (5, b), (7, near(a)), (9, near(b))] if seed % 2 else [(9, near(b)), (5, a), (7, near(a)), (5, b)]
+        rows += [(100 * seed + i, " ".join(w)) for i, w in here]
+    got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    want = brute(rows, 3, 90, 100)
+    assert got == want and {c % 100 for _, _, c in want} == {5}

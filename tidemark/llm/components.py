@@ -13,18 +13,19 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The step's links, and the table that they read."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.put(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return hung.union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
@@ -32,8 +33,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected
     Components in MapReduce and Beyond"): each is a minimum per node, which
-    Spark combines before the exchange, and a join back, which AQE splits
-    where one node has very many links. A table in the shared folder ends
+    Spark combines before the exchange and writes, and a join back, which AQE
+    splits where one node has very many links: both of its sides are exchanges
+    of their own. A table in the shared folder ends
     each round. Loops and repeated links are ignored.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -42,8 +44,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     for _ in range(rounds):
         if not seen[0]:
             break
-        new = scratch.put(_small_star(_large_star(now)), "stars")
-        scratch.drop(now)
+        links, one = _large_star(now, scratch)
+        large = scratch.put(links, "large")
+        links, two = _small_star(large, scratch)
+        new = scratch.put(links, "stars")
+        scratch.drop(now, one, large, two)
         now, was, seen = new, seen, _fingerprint(new)
         if seen == was:
             break

@@ -3,7 +3,7 @@
 Two texts link when the Jaccard index of their sets of distinct k-word
 shingles is at least num/den. The join is exact up to 64-bit hash collisions:
 
-1. One pass hashes each text's shingles. Texts with equal sets become one
+1. One pass hashes each text's shingles and makes the keys of step 2. Texts with equal sets become one
    node, so groups of copies shrink to a row before anything is compared.
 2. Nodes whose sets could link are brought together. For the smaller set's
    size class [lo, hi], linked sets differ in at most D = hi*(den-num)/num
@@ -14,13 +14,13 @@ shingles is at least num/den. The join is exact up to 64-bit hash collisions:
    an edge (not all edges: a spanning forest). Keys with more than BUCKET
    members are not compared; all their members hang on the least one. The
    parts that edges join are clusters.
-3. A cluster is a forest of signature trees. Its nodes, in order of size, are
-   cut into leaf blocks; blocks and the levels above hold the OR and the AND
+3. A cluster is a forest of signature trees. Its nodes are cut into leaf
+   blocks by size, and nodes of one size by hash; blocks and the levels above hold the OR and the AND
    of their bitmaps and the range of sizes. Dual traversal drops node pairs
    whose largest possible overlap is below what their sizes need, and
    surviving documents are verified on the exact sets. Pairs of blocks are
-   separate rows, so a very large cluster spreads over tasks, and a block
-   pair only emits the links that join parts it had not joined yet.
+   separate rows, and so are pairs of chunks of blocks before, so a very large
+   cluster spreads over tasks, and a block pair only emits the links that join parts it had not joined yet.
 4. Components of the verified links give each document its class.
 
 Null or wordless texts have empty sets and link with nothing. Rows without
@@ -44,8 +44,8 @@ from .shingles import mix, shingle_set
 
 #: Ratio of the size classes, documents and shingles of a leaf block, bits of a bitmap, children of a tree node.
 RATIO, LEAF_DOCS, LEAF_SHINGLES, BITS, FAN = 1.25, 256, 200_000, 2048, 16
-#: Members of a key up to which they are compared at once; nodes up to which their ids are broadcast, 8 bytes each.
-BUCKET, BROADCAST_ROWS = 2048, 500_000
+#: Members of a key up to which they are compared at once; blocks of a chunk; nodes up to which their ids are broadcast, 8 bytes each.
+BUCKET, CHUNK, BROADCAST_ROWS = 2048, 1024, 500_000
 
 
 class SizeClasses:
@@ -103,39 +103,25 @@ def small_bitmap(h: np.ndarray) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def _sets(k: int):
-    def run(batches):
-        for b in batches:
-            n, node, bits = [], [], []
-            for t in b.column(1):
-                h = shingle_set(t.as_py(), k)
-                n.append(len(h))
-                node.append(node_of(h) if len(h) else None)
-                bits.append(small_bitmap(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "node", "bits"])
-
-    return run
-
-
-def _keys(k: int, num: int, den: int):
-    """Rows (node, key); of equal sets that one task meets, just the first gives any."""
+def _sets(k: int, num: int, den: int):
+    """Texts are shingled here, once. Of equal sets that one task meets, just the first gives its bitmap and its keys."""
 
     def run(batches):
         classes, seen = SizeClasses(num, den), set()
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                ids, keys = [], []
-                for t in part.column(0):
+                n, node, bits, keys = [], [], [], []
+                for i, t in zip(part.column(0), part.column(1), strict=True):
                     h = shingle_set(t.as_py(), k)
-                    if not len(h) or (x := node_of(h)) in seen:
-                        continue
-                    seen.add(x)
-                    own = cell_keys(h, classes)
-                    ids.append(np.full(len(own), x, np.int64))
-                    keys.append(own)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["node", "key"])
+                    n.append(len(h))
+                    node.append(x := node_of(h) if len(h) else None)
+                    new = x is not None and i.is_valid and x not in seen
+                    if new:
+                        seen.add(x)
+                    bits.append(small_bitmap(h) if new else None)
+                    keys.append(cell_keys(h, classes) if new else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bits", "keys"])
 
     return run
 
@@ -308,19 +294,39 @@ def _summaries(batches):
 
 
 def _block_pairs(num: int, den: int):
+    """Pairs of blocks that could link, of chunks p and q of a cluster's blocks."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lo", "hi", "block"])
-        bits = lambda c: np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1)
-        t = Tree(pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64), bits("any_bits"), bits("all_bits"))
-        i, j = dual(t, t, True, num, den)
-        block = pdf["block"].to_numpy()
-        return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "x": block[i], "y": block[j]})
+        sides = []
+        for chunk in sorted(pdf["chunk"].unique()):
+            side = pdf[pdf["chunk"] == chunk].sort_values(["lo", "hi", "block"])
+            bits = lambda c, side=side: np.frombuffer(b"".join(side[c]), np.uint64).reshape(len(side), -1)
+            sides.append((side["block"].to_numpy(), Tree(side["lo"].to_numpy(np.int64), side["hi"].to_numpy(np.int64), bits("any_bits"), bits("all_bits"))))
+        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        if not same and len(sides) < 2:
+            return pd.DataFrame({"cluster": [], "x": [], "y": []})
+        (xs, t), (ys, u) = sides[0], sides[-1]
+        i, j = dual(t, u, same, num, den)
+        return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "x": xs[i], "y": ys[j]})
 
     return run
 
 
+def _placed(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows (cluster, node, rep, block): blocks of a cluster's nodes of about one size, by sums over sizes; no cluster is ranked row by row."""
+    rows = nodes.select("rep", "node", "n_shingles").join(clusters, "node")
+    sizes = rows.groupBy("cluster", "n_shingles").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("cluster").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))
+    docs, shingles = before(F.col("c")), before(F.col("c") * F.col("n_shingles"))
+    parts = F.ceil(F.greatest(F.col("c") / LEAF_DOCS, F.col("c") * F.col("n_shingles") / LEAF_SHINGLES)).cast("long")
+    sizes = sizes.select(F.col("cluster").alias("_c"), F.col("n_shingles").alias("_n"), F.floor(docs / LEAF_DOCS).alias("i"), F.floor(shingles / LEAF_SHINGLES).alias("j"), parts.alias("parts"))
+    rows = rows.join(sizes, (F.col("cluster") == F.col("_c")) & (F.col("n_shingles") == F.col("_n")))
+    # Many sets of one size are dealt out by hash.
+    return rows.select("cluster", "node", "rep", F.xxhash64("i", "j", F.when(F.col("parts") > 1, F.concat_ws(":", "_n", F.pmod(F.xxhash64("node"), "parts")))).alias("block"))
+
+
 # ---- the join -------------------------------------------------------------
 
 
@@ -329,11 +335,11 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sets = scratch.put(text.mapInArrow(_sets(k), "doc_id long, n_shingles long, node long, bits binary"), "sets")
+    sets = scratch.put(text.mapInArrow(_sets(k, num, den), "doc_id long, n_shingles long, node long, bits binary, keys array<long>"), "sets")
     usable = sets.filter("doc_id is not null and node is not null")
-    nodes = scratch.put(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "nodes")
+    nodes = scratch.put(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits", True).alias("bits")), "nodes")
 
-    entries = text.filter("doc_id is not null").select("text").mapInArrow(_keys(k, num, den), "node long, key long")
+    entries = usable.select("node", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     met = entries.withColumns({"size": F.count("*").over(by_key), "least": F.min("node").over(by_key)}).filter("size > 1")
     met = scratch.put(met, "met")
@@ -345,31 +351,29 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     large = met.filter(F.col("size") > BUCKET).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = scratch.put(components(edges.union(large), scratch).select("node", F.col("component").alias("cluster")), "clusters")
 
-    by_size = Window.partitionBy("cluster").orderBy("n_shingles", "node")
-    placed = nodes.select("rep", "node", "n_shingles").join(clusters, "node").select(
-        "cluster", "node", "rep",
-        (F.floor((F.row_number().over(by_size) - 1) / LEAF_DOCS) * (1 << 40) + F.floor((F.sum("n_shingles").over(by_size) - 1) / LEAF_SHINGLES)).alias("block"),
-    )
+    placed = scratch.put(_placed(nodes, clusters), "placed")
     wanted = text
-    if clusters.count() <= BROADCAST_ROWS:
-        wanted = text.join(F.broadcast(nodes.join(clusters, "node").select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    if placed.count() <= BROADCAST_ROWS:
+        wanted = text.join(F.broadcast(placed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     payload = wanted.join(placed, F.col("doc_id") == F.col("rep")).select("text", "node", "cluster", "block")
     payload = payload.mapInArrow(_payloads(k), "cluster long, block long, node long, shingles binary")
     blocks = payload.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     blocks = scratch.put(blocks, "blocks")
 
     within = blocks.select("members").mapInArrow(_links(num, den, False), "a long, b long")
-    several = blocks.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
-    wide = blocks.join(several, "cluster").select("cluster", "block", "members").mapInArrow(_summaries, "cluster long, block long, lo long, hi long, any_bits binary, all_bits binary")
-    pairs = scratch.put(wide.groupBy("cluster").applyInPandas(_block_pairs(num, den), "cluster long, x long, y long"), "pairs")
+    several = blocks.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    wide = blocks.join(several.select("cluster"), "cluster", "left_semi").select("cluster", "block", "members").mapInArrow(_summaries, "cluster long, block long, lo long, hi long, any_bits binary, all_bits binary")
+    chunk, other = F.col("chunk"), F.col("other")
+    wide = wide.join(several, "cluster").withColumn("chunk", F.pmod(F.xxhash64("block"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    wide = wide.select("cluster", F.least(chunk, other).alias("p"), F.greatest(chunk, other).alias("q"), "chunk", "block", "lo", "hi", "any_bits", "all_bits")
+    pairs = scratch.put(wide.groupBy("cluster", "p", "q").applyInPandas(_block_pairs(num, den), "cluster long, x long, y long"), "pairs")
     one = blocks.select("cluster", F.col("block").alias("x"), F.col("members").alias("mx"))
     two = blocks.select("cluster", F.col("block").alias("y"), F.col("members").alias("my"))
     across = pairs.join(one, ["cluster", "x"]).join(two, ["cluster", "y"]).select("mx", "my").mapInArrow(_links(num, den, True), "a long, b long")
     linked = components(within.union(across), scratch)
 
     # The links are written: what led to them has done its work.
-    for done in (met, lists, clusters, blocks, pairs):
-        scratch.drop(done)
+    scratch.drop(met, lists, clusters, placed, blocks, pairs)
     least = nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "least")
     out = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(linked, "node", "left")
