@@ -9,12 +9,15 @@ texts is scored by two matrix products: presence times landmarks, and that
 times the regression weights.
 
 The fit reads a bounded sample: up to PER_CLASS texts of each language with
-the least hashes of doc_id, LANDMARKS of them as landmarks. Their presence
-vectors, not their texts, come to the driver.
+the least hashes of doc_id; LANDMARKS of them are landmarks, or one of each
+language where there are more languages than that. Their presence vectors, not
+their texts, come to the driver: PER_CLASS times 2 KB at most for each language.
+The ids of the sample are broadcast up to BROADCAST_ROWS and joined beyond.
 
 A text that is null or has no letter is ``und`` with score 0. Rows without
 lang or doc_id teach nothing; without any training row every text is ``und``.
-Repeated rows keep a row each; other columns are ignored.
+Repeated rows keep a row each, and teach with each language that they have;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids
+from .common import Scratch, sample_ids
 
-DIM, LANDMARKS, PER_CLASS, RIDGE, BATCH = 1 << 14, 192, 400, 1e-2, 64
+DIM, LANDMARKS, PER_CLASS, RIDGE, BATCH, BROADCAST_ROWS = 1 << 14, 192, 400, 1e-2, 64, 500_000
 
 
 def features(text: str) -> np.ndarray:
@@ -63,7 +66,7 @@ class KernelRidge:
         for i, y in enumerate(labels):
             turn[y] = turn.get(y, 0) + 1
             order.append((turn[y], y, i))
-        marks = [i for _, _, i in sorted(order)[:landmarks]]
+        marks = [i for _, _, i in sorted(order)[: max(landmarks, len(self.classes))]]
         self.landmarks = presence([places[i] for i in marks]).T.copy()
         values, vectors = np.linalg.eigh((self.landmarks.T @ self.landmarks).astype(np.float64))
         keep = values > 1e-6 * values.max()
@@ -76,8 +79,11 @@ class KernelRidge:
         w = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge / len(z) * np.eye(z.shape[1]), z.T @ (y * weight[:, None]))
         self.weights, self.bias = (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
+    def margins(self, places: list[np.ndarray]) -> np.ndarray:
+        return presence(places) @ self.landmarks @ self.weights + self.bias
+
     def scores(self, places: list[np.ndarray]) -> np.ndarray:
-        margin = presence(places) @ self.landmarks @ self.weights + self.bias
+        margin = self.margins(places)
         e = np.exp(4 * (margin - margin.max(1, keepdims=True)))
         return e / e.sum(1, keepdims=True)
 
@@ -90,9 +96,8 @@ def _sampled(batches):
 
 def fit(train: DataFrame, per_class: int = PER_CLASS) -> KernelRidge | None:
     """From rows (doc_id, lang, text)."""
-    ids = sample_ids(train.filter("lang is not null and doc_id is not null"), per_class, by="lang")
-    # per_class ids a language: bounded, so that the texts need no shuffle.
-    rows = train.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "doc_id").mapInArrow(lambda it: _sampled(b.select(["lang", "text"]) for b in it), "lang string, places binary").distinct().collect()
+    ids = Scratch(train.sparkSession, "langid").put(sample_ids(train.filter("lang is not null and doc_id is not null"), per_class, by="lang"), "ids")
+    rows = train.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc_id", "lang"]).select("lang", "text", "doc_id").mapInArrow(lambda it: _sampled(b.select(["lang", "text"]) for b in it), "lang string, places binary").distinct().collect()
     rows = sorted((r["lang"], bytes(r["places"])) for r in rows)
     if not rows:
         return None

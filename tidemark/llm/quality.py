@@ -7,17 +7,20 @@ class prior p, positive risk p * R_p(+) and negative risk R_u(-) - p * R_p(-),
 where a step that would push the negative risk below zero is undone instead.
 
 The prior is estimated from the data: a first, biased network separates
-trusted positives from unlabelled text, and the prior is the least share, over
-its thresholds, of unlabelled rows above one to positives above it (Elkan-Noto
-estimates, with a correction for the spread of small counts).
+trusted positives from unlabelled text, each half of the rows scored by the
+network of the other half, and the prior is the least share, over its
+thresholds, of unlabelled rows above one to positives above it (Elkan-Noto
+estimates).
 
-The network's output ranks texts; where labels of both kinds are given for
-calibration, a logistic curve through up to CALIBRATION labelled rows turns it
-into a probability. The network itself never sees a negative label.
+Logistic losses make the network's output the log-odds of the posterior, so its
+sigmoid is the score as it is: no negative label is used anywhere. ENSEMBLE
+networks from different starts are averaged.
 
 Features are shares and ratios of whole texts (``features``), standardised on
 the unlabelled sample. The fit reads bounded samples, POSITIVES and UNLABELLED
 rows with the least hashes of doc_id; features, not texts, come to the driver.
+A doc_id that the labels call good and bad counts as good; its rows, if several,
+are all read.
 
 Null and empty texts have the features of the empty text and a score like any
 other. Rows without doc_id are scored and teach nothing. Without any trusted
@@ -35,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sample_ids
-from .logistic import logistic, sigmoid
+from .logistic import sigmoid
 
-POSITIVES, UNLABELLED, CALIBRATION, HIDDEN, STEPS, RATE = 3000, 6000, 4000, 24, 900, 0.01
+POSITIVES, UNLABELLED, HIDDEN, STEPS, RATE, ENSEMBLE = 3000, 6000, 24, 600, 0.01, 3
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _LINE, _STOP, _SYMBOL, _BAR, _HIGH = range(9)
 _KIND = np.full(256, _SYMBOL, np.int64)
@@ -101,7 +104,7 @@ class Network:
 
     def __init__(self, d: int, seed: int = 1) -> None:
         r = np.random.default_rng(seed)
-        self.p = [r.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
+        self.p = [w.astype(np.float32) for w in (r.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1))]
         self.m, self.v, self.t = [np.zeros_like(x) for x in self.p], [np.zeros_like(x) for x in self.p], 0
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +113,7 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray, g: np.ndarray, decay: float = 1e-4) -> None:
         """One update along dLoss/doutput = g."""
+        g = g.astype(np.float32)
         gh = np.outer(g, self.p[2]) * (1 - h * h)
         grads = [x.T @ gh, gh.sum(0), h.T @ g, np.array([g.sum()])]
         self.t += 1
@@ -122,59 +126,56 @@ class Network:
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """Share of positives in unl, from scores of a network that tells pos from unl."""
-    best = 1.0
-    for t in np.quantile(pos, np.linspace(0.02, 0.9, 45)):
-        up, uu = (pos >= t).mean(), (unl >= t).mean()
-        # One standard deviation up: small counts must not make the prior small by chance.
-        spread = np.sqrt(uu * (1 - uu) / len(unl)) + np.sqrt(up * (1 - up) / len(pos))
-        best = min(best, (uu + spread) / max(up - spread, 1e-3))
-    return float(np.clip(best, 0.05, 0.98))
+    cuts = np.quantile(pos, np.linspace(0.02, 0.9, 45))
+    return float(np.clip(min((unl >= t).mean() / (pos >= t).mean() for t in cuts), 0.05, 0.98))
+
+
+def crossed_scores(xp: np.ndarray, xu: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of positives and unlabelled rows, each from a network that was fitted on the other half of both."""
+    x, n, m = np.vstack([xp, xu]), len(xp), len(xu)
+    y, half, z = np.arange(n + m) < n, np.arange(n + m) % 2 == 0, np.zeros(n + m)
+    g = np.where(y, 1 / n, 1 / m) * 2
+    for part in (half, ~half):
+        net = Network(x.shape[1])
+        for _ in range(steps):
+            h, out = net.forward(x[part])
+            net.step(x[part], h, g[part] * (sigmoid(out) - y[part]), 1e-3)
+        z[~part] = net.forward(x[~part])[1]
+    return z[:n], z[n:]
+
+
+def nn_risk(z: np.ndarray, n: int, prior: float) -> tuple[float, float]:
+    """(positive part, negative part) of the unbiased risk of outputs z, the first n of positives, under logistic losses."""
+    plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
+    return prior * plus[:n].mean(), minus[n:].mean() - prior * minus[:n].mean()
+
+
+def nn_gradient(z: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """The step's direction in outputs: down the risk, or, where its negative part is below zero, up that part."""
+    s, m = sigmoid(z), len(z) - n
+    if nn_risk(z, n, prior)[1] >= 0:
+        return np.concatenate([prior * ((s[:n] - 1) - s[:n]) / n, s[n:] / m])
+    return np.concatenate([prior * s[:n] / n, -s[n:] / m])
 
 
 class PuClassifier:
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> None:
         self.mean, self.scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-6)
         xp, xu = self._z(positive), self._z(unlabelled)
-        x = np.vstack([xp, xu])
-        n, m = len(xp), len(xu)
-        if prior is None:
-            # The network that the estimate reads is fitted on one half and applied to the other.
-            half = (np.arange(n + m) % 2).astype(bool)
-            first, y = Network(x.shape[1]), np.arange(n + m) < n
-            g = np.where(y, 1 / n, 1 / m) * 2
-            for _ in range(STEPS // 3):
-                h, z = first.forward(x[half])
-                first.step(x[half], h, g[half] * (sigmoid(z) - y[half]), 1e-3)
-            z = first.forward(x)[1]
-            prior = estimate_prior(z[y & ~half], z[~y & ~half])
-        self.prior = prior
-        self.net = Network(x.shape[1])
-        for _ in range(STEPS):
-            h, z = self.net.forward(x)
-            s = sigmoid(z)
-            # Logistic losses: l(+) = softplus(-z), l(-) = softplus(z).
-            minus = np.logaddexp(0, z)
-            negative = minus[n:].mean() - prior * minus[:n].mean()
-            if negative >= 0:
-                g = np.concatenate([prior * ((s[:n] - 1) - s[:n]) / n, s[n:] / m])
-            else:
-                g = np.concatenate([prior * s[:n] / n, -s[n:] / m])
-            self.net.step(x, h, g)
+        self.prior = estimate_prior(*crossed_scores(xp, xu, STEPS // 2)) if prior is None else prior
+        x, n = np.vstack([xp, xu]), len(xp)
+        self.nets = [Network(x.shape[1], seed) for seed in range(1, ENSEMBLE + 1)]
+        for net in self.nets:
+            for _ in range(STEPS):
+                h, z = net.forward(x)
+                net.step(x, h, nn_gradient(z, n, self.prior))
 
     def _z(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6)
-
-    curve = (1.0, 0.0)
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        if 0 < y.sum() < len(y):
-            # Targets a little inside 0 and 1, as Platt has them: a clean split must not give a step.
-            n = np.array([(y == 0).sum(), y.sum()])
-            soft = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
-            self.curve = tuple(logistic(self.net.forward(self._z(x))[1][:, None], soft, 1e-3))
+        return np.clip((x - self.mean) / self.scale, -6, 6).astype(np.float32)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.curve[0] * self.net.forward(self._z(x))[1] + self.curve[1])
+        x = self._z(x)
+        return sigmoid(sum(net.forward(x)[1].astype(np.float64) for net in self.nets) / len(self.nets))
 
 
 def _read(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -186,19 +187,15 @@ def _read(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([np.frombuffer(x[i][1], np.float64) for i in order]).reshape(-1, N_FEATURES), np.array([x[i][0] for i in order], int)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, labels: DataFrame | None = None, prior: float | None = None) -> PuClassifier | None:
-    """From docs(doc_id, text) and the ids of trusted(doc_id): all other rows of docs are unlabelled. labels(doc_id, label) calibrates."""
+def fit(docs: DataFrame, trusted: DataFrame, prior: float | None = None) -> PuClassifier | None:
+    """From docs(doc_id, text) and the ids of trusted(doc_id): all other rows of docs are unlabelled."""
     good = trusted.filter("doc_id is not null").select("doc_id", F.lit(1).alias("positive")).distinct()
     ids = docs.filter("doc_id is not null").select("doc_id").distinct().join(good, "doc_id", "left").select("doc_id", F.coalesce("positive", F.lit(0)).alias("positive"))
     x, y = _read(docs, sample_ids(ids, max(POSITIVES, UNLABELLED), by="positive"))
     pos, unl = x[y == 1], x[y == 0]
     if len(pos) < 2 or len(unl) < 2:
         return None
-    model = PuClassifier(pos[:POSITIVES], unl[:UNLABELLED], prior)
-    if labels is not None:
-        known = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("positive"))
-        model.calibrate(*_read(docs, known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(CALIBRATION)))
-    return model
+    return PuClassifier(pos[:POSITIVES], unl[:UNLABELLED], prior)
 
 
 def _scored(model: PuClassifier | None):
@@ -213,9 +210,9 @@ def _scored(model: PuClassifier | None):
     return run
 
 
-def score(docs: DataFrame, trusted: DataFrame, labels: DataFrame | None = None, prior: float | None = None) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, prior: float | None = None) -> DataFrame:
     """Rows (doc_id, score) for each row of docs(doc_id, text): the probability that a text is like the trusted ones."""
-    model = fit(docs.select("doc_id", "text"), trusted, labels, prior)
+    model = fit(docs.select("doc_id", "text"), trusted, prior)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_scored(model), "doc_id long, score double")
 
 

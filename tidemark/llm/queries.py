@@ -38,7 +38,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
-    found = quality.score(table(spark, sf_dir, "documents"), labels.filter("label = 1"), labels)
+    found = quality.score(table(spark, sf_dir, "documents"), labels.filter("label = 1"))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

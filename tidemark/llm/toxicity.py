@@ -20,13 +20,13 @@ labelled rows, which gives the score.
 The lexicon's weights are log-odds of a stem's (or whole word's) presence in
 toxic against other labelled texts. The fit reads a bounded sample, PER_CLASS
 rows of each label with the least hashes of doc_id; counts of stems are summed
-by Spark, and only those that pass MIN_TEXTS and MIN_ODDS come to the driver,
-at most STEMS of them.
+by Spark, and those that pass MIN_TEXTS and MIN_ODDS come to the driver: of a
+bounded sample, a bounded number. Equal texts of a label count once.
 
 Null and empty texts match nothing and get the score of a text without
 matches. Rows without doc_id are scored and teach nothing. Without labels of
-both kinds every score is 0. Repeated rows keep a row each; other columns are
-ignored.
+both kinds every score is 0. Repeated rows keep a row each; a doc_id that is
+labelled both ways counts as toxic. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids
+from .common import Scratch, sample_ids
 from .logistic import logistic
 
-PER_CLASS, MIN_TEXTS, MIN_ODDS, STEMS = 4000, 8, 12.0, 5000
+PER_CLASS, MIN_TEXTS, MIN_ODDS = 4000, 8, 12.0
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 # Closed classes of the four languages; plain grammar words, not learned.
@@ -209,8 +209,7 @@ def learn_lexicon(rows: DataFrame, n_tox: int, n_non: int) -> Lexicon:
     # With many texts and very many stems, a few hits are chance.
     least = max(MIN_TEXTS, n_tox // 200)
     kept = counts.filter(F.col("tox") >= least).withColumn("w", odds).filter(F.col("w") >= math.log(MIN_ODDS))
-    kept = kept.orderBy(F.desc("w"), F.desc("tox"), "gram").limit(STEMS).collect()
-    return Lexicon({r["gram"]: r["w"] / 4 for r in kept})
+    return Lexicon({r["gram"]: r["w"] / 4 for r in kept.collect()})
 
 
 def _evident(lexicon: Lexicon):
@@ -237,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     # PER_CLASS ids a label: bounded, so that the texts need no shuffle.
     # Copies would count their words again and again.
     rows = docs.join(F.broadcast(ids), "doc_id").select("toxic", "text", F.xxhash64("text").alias("h")).dropDuplicates(["toxic", "h"]).select("toxic", "text")
-    n = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = Scratch(docs.sparkSession, "toxicity").put(rows, "sample")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
     lexicon = learn_lexicon(rows, n[1], n[0])
