@@ -20,6 +20,11 @@ _SLICE = f"slice($0, {_FROM}, greatest({_TO} - {_FROM} + 1, 0))"
 _SORTED = "sort_array(filter($0, _e -> _e IS NOT NULL), {})"
 _NULLS = "filter($0, _e -> _e IS NULL)"
 
+#: Sizes by level, read off the JSON of an array, as expressions over arrays of different depths have no one type. Three levels at most.
+_INSIDE = "get(from_json({}, 'array<string>'), 0)"
+_DEPTH = ["to_json($0)", _INSIDE.format("to_json($0)"), _INSIDE.format(_INSIDE.format("to_json($0)"))]
+_DIMS = "IF($0 IS NULL, NULL, slice(array(" + ", ".join(f"CAST(size(from_json({d}, 'array<string>')) AS BIGINT)" for d in _DEPTH) + "), 1, size(split(typeof($0), 'array<')) - 1))"
+
 #: (name, number of arguments) -> expression
 TEMPLATES = {
     ("array_slice", 3): _SLICE,
@@ -51,6 +56,19 @@ TEMPLATES = {
     ("from_unixtime", 1): "CAST(timestamp_seconds($0) AS TIMESTAMP_NTZ)",
     ("to_timestamp_nanos", 1): "timestamp_micros($0 div 1000)",
     ("to_local_time", 1): "CAST($0 AS TIMESTAMP_NTZ)",
+    ("to_unixtime", 1): "unix_seconds(CAST($0 AS TIMESTAMP))",
+    # Counts that reach before the first character take from it, and negative ones leave off as many.
+    ("substr", 2): "substring($0, greatest($1, 1))",
+    ("substring", 2): "substring($0, greatest($1, 1))",
+    ("substr", 3): "substring($0, greatest($1, 1), greatest($1 + $2 - greatest($1, 1), 0))",
+    ("substring", 3): "substring($0, greatest($1, 1), greatest($1 + $2 - greatest($1, 1), 0))",
+    ("left", 2): "substring($0, 1, IF($1 < 0, greatest(char_length($0) + $1, 0), $1))",
+    ("right", 2): "substring($0, IF($1 < 0, 1 - $1, greatest(char_length($0) - $1 + 1, 1)))",
+    ("array_ndims", 1): "size(split(typeof($0), 'array<')) - 1",
+    ("array_dims", 1): _DIMS,
+    ("range", 1): "IF($0 > 0, sequence(0, greatest($0 - 1, 0)), slice(array(0), 1, 0))",
+    ("range", 2): "IF($1 > $0, sequence($0, greatest($1 - 1, $0)), slice(array($0), 1, 0))",
+    ("range", 3): "IF(($1 - $0) * sign($2) > 0, sequence($0, IF(($1 - $0) * sign($2) > 0, $1 - CAST(sign($2) AS INT), $0), $2), slice(array($0), 1, 0))",
     ("approx_percentile_cont_with_weight", 3): "percentile($0, $2, CAST($1 AS BIGINT))",
     ("approx_percentile_cont_with_weight", 4): "percentile($0, $2, CAST($1 AS BIGINT))",
 }
@@ -122,7 +140,63 @@ def _get_field(args: list[list[str]]) -> str:
     return f"$0.`{_literal(args[1], 'get_field')}`"
 
 
+def _references(text: str, shift: int) -> str:
+    """A replacement's references to groups, as Java writes them."""
+    return re.sub(r"\\(\d)|\$(\d+)|\$\{(\d+)\}", lambda m: "$" + str(int(m[1] or m[2] or m[3]) + shift), text)
+
+
+def _regexp_replace(args: list[list[str]]) -> str:
+    """The first match, or all of them with flag g."""
+    flags = _literal(args[3], "regexp_replace") if len(args) > 3 else ""
+    if set(flags) - set("gimsx"):
+        raise QueryError(f"unsupported flags {flags} of regexp_replace")
+    inline = f"(?{flags.replace('g', '')})" if flags.replace("g", "") else ""
+    plain = len(args[2]) == 1 and args[2][0][0] == "'"
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    if "g" in flags:
+        by = quoted(_references(_literal(args[2], "regexp_replace"), 0)) if plain else "$2"
+        return f"regexp_replace($0, concat('{inline}', $1), {_protected(by)})"
+    # What stands before the first match is a group of its own, put back.
+    by = quoted("$1" + _references(_literal(args[2], "regexp_replace"), 1)) if plain else "concat('$1', $2)"
+    return f"regexp_replace($0, concat('{inline}', chr(92), 'A((?s:.*?))(?:', $1, ')'), {_protected(by)})"
+
+
+def _protected(text: str) -> str:
+    """$ and a digit are no place of an argument here."""
+    return re.sub(r"'[^']*'", lambda m: m[0].replace("$", "\0"), text)
+
+
+def _date_part(args: list[list[str]]) -> str:
+    part = _literal(args[0], "date_part").lower()
+    return DATE_PARTS.get(part, f"date_part('{part}', $1)")
+
+
+def _extract(args: list[list[str]]) -> str | None:
+    if len(args[0]) < 3 or args[0][1].upper() != "FROM":
+        return None
+    found = DATE_PARTS.get(args[0][0].strip("'").lower())
+    if found:
+        args[:] = [args[0][:1], args[0][2:]]
+    return found
+
+
+#: Parts that Spark counts otherwise or does not have.
+DATE_PARTS = {
+    "dow": "dayofweek($1) - 1",
+    "epoch": "unix_micros(CAST($1 AS TIMESTAMP)) / 1000000.0D",
+    "millisecond": "CAST(extract(SECOND FROM $1) * 1000 AS DOUBLE)",
+    "milliseconds": "CAST(extract(SECOND FROM $1) * 1000 AS DOUBLE)",
+    "microsecond": "CAST(extract(SECOND FROM $1) * 1000000 AS DOUBLE)",
+    "microseconds": "CAST(extract(SECOND FROM $1) * 1000000 AS DOUBLE)",
+}
+
+
 WRITTEN: dict[tuple[str, int], Callable] = {
+    ("regexp_replace", 3): _regexp_replace,
+    ("regexp_replace", 4): _regexp_replace,
+    ("date_part", 2): _date_part,
+    ("datepart", 2): _date_part,
+    ("extract", 1): _extract,
     ("to_char", 2): _formatted("date_format"),
     ("date_format", 2): _formatted("date_format"),
     ("to_timestamp", 2): _formatted("to_timestamp"),
@@ -169,7 +243,7 @@ def expand(name: str, args: list[list[str]]) -> list[str] | None:
             arg = args[int(part[1])]
             out += arg if len(arg) == 1 else ["(", *arg, ")"]
         else:
-            out += _tokens(part)
+            out += [x.replace("\0", "$") for x in _tokens(part)]
     return ["(", *out, ")"]
 
 

@@ -22,7 +22,7 @@ RENAMED = {
     "approx_distinct": "approx_count_distinct", "approx_percentile_cont": "percentile_approx", "string_agg": "listagg",
     "arrow_typeof": "typeof", "today": "current_date",
     "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis", "to_timestamp_micros": "timestamp_micros",
-    "to_unixtime": "unix_timestamp", "make_map": "map", "row": "struct", "ifnull": "coalesce",
+    "unnest": "explode", "make_map": "map", "row": "struct", "ifnull": "coalesce",
     "random": "rand", "trunc": "trunc_to", "encode": "encode_text", "decode": "decode_text", "digest": "digest_of",
     "datepart": "date_part", "datetrunc": "date_trunc",
 }
@@ -44,7 +44,7 @@ DEFINED = [
 ]
 
 #: Microseconds of a day-time interval.
-_STRIDE = "CAST(extract(SECOND FROM stride) * 1000000 + (extract(MINUTE FROM stride) * 60 + extract(HOUR FROM stride) * 3600 + extract(DAY FROM stride) * 86400) * 1000000 AS BIGINT)"
+_STRIDE = "(CAST(extract(SECOND FROM stride) * 1000000 AS BIGINT) + (CAST(extract(MINUTE FROM stride) AS BIGINT) * 60 + CAST(extract(HOUR FROM stride) AS BIGINT) * 3600 + CAST(extract(DAY FROM stride) AS BIGINT) * 86400) * 1000000)"
 _MICROS = "unix_micros(CAST({} AS TIMESTAMP))"
 DEFINED.append(
     (
