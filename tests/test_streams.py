@@ -131,7 +131,7 @@ def test_sinks_without_connector_fail_for_good(engine):
     engine.execute("CREATE STREAM q WITH ('source.table'='m', 'sink.type'='mqtt', 'sink.mqtt.url'='tcp://h', 'sink.mqtt.topic'='t')")
     engine.streams.wait("q")
     assert engine.streams.phase("q") == "failed"
-    assert "not available" in engine.query("SHOW STREAM STATUS FOR q").collect()[0]["step"]
+    assert "not available" in engine.query("SHOW STREAM STATUS FOR q").collect()[0]["current_step"]
 
 
 def test_load_met_halfway_leaves_whole(engine, tmp_path, monkeypatch):

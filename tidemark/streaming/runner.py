@@ -1,18 +1,22 @@
 """Streams of table changes, run by Structured Streaming.
 
-A stream reads the files of its table as a file stream; hybrid ones read the
-files of unflushed writes too. Each micro-batch keeps the rows past the
-stream's LSN, adds those that the manifest holds up to the batch's last LSN (a
-listing may have met an LSN's files halfway, or missed what a flush moved),
-hands them to the sink in order, and moves the LSN on. The
-checkpoint is the record of what was read, the batch id makes commits
-repeatable, and the LSN keeps a row from leaving twice when a flush or a
-compaction brings it again in another file.
+A stream watches the files of its table as a file stream; hybrid ones watch the
+files of unflushed writes too. What a micro-batch has met says up to which LSN
+it goes. Its rows are those past the stream's LSN and up to that one: of the
+table's files as the manifest has them (a listing may have met an LSN's files
+halfway, missed what a flush moved, or met files that a compaction replaced),
+and, of hybrid streams, of the unflushed writes that it has met. They go to the
+sink in order, and the stream's LSN moves on. The checkpoint is the record of
+what was met, the batch id makes commits repeatable, and the LSN keeps a row
+from leaving twice when a flush or a compaction brings it again in another file.
+
+A commit that fails is tried again, after a growing wait, until it succeeds or
+the stream is dropped or its engine closed. Only a stream whose connector is
+not there, or whose options its sink refuses, fails for good.
 """
 
 from __future__ import annotations
 
-import json
 import threading
 import time
 
@@ -20,21 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import FatalSinkError, StreamError, TransientSinkError
+from ..errors import FatalSinkError, StreamError
 from ..functions.literals import Reader
 from ..sources.store import LSN, ORD, Store
 from ..sources.types import unquote
 from .options import StreamDef, define, parse
 from .sinks import classified, make_sink
 
-RETRIES, FIRST_WAIT, LONGEST_WAIT = 5, 0.1, 30.0
+FIRST_WAIT, LONGEST_WAIT = 0.1, 30.0
 
 
 class Running:
     def __init__(self, definition: StreamDef) -> None:
         self.d = definition
         self.query: StreamingQuery | None = None
-        self.phase, self.error, self.files_done = "inactive", "", 0
+        self.phase, self.error, self.tries = "inactive", "", 0
+        self.stopping, self.opened_ms = threading.Event(), 0
 
 
 class Streams:
@@ -71,6 +76,7 @@ class Streams:
                 raise StreamError(f"stream not found: {name}")
             run = self.running.pop(name, None)
             if run and run.query:
+                run.stopping.set()
                 run.query.stop()
             del self.store.streams[name]
             self.store.save()
@@ -91,6 +97,7 @@ class Streams:
 
     def stop_all(self) -> None:
         for run in self.running.values():
+            run.stopping.set()
             if run.query:
                 run.query.stop()
 
@@ -100,10 +107,14 @@ class Streams:
         table = self.store.table(d.table)
         sink, run = make_sink(d), Running(d)
         schema = table.stored
-        read = lambda folder: self.spark.readStream.schema(schema).option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.parquet").parquet(f"{self.store.uri}/{table.name}/{folder}")
-        changes = read("data")
+        def read(folder: str, live: bool) -> DataFrame:
+            source = self.spark.readStream.schema(schema).option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", self.store.config.stream_files)
+            return source.parquet(f"{self.store.uri}/{table.name}/{folder}").withColumn("__live", F.lit(live))
+
+        changes = read("data", False)
         if d.mode == "hybrid" and sink.live:
-            changes = changes.union(read("wal"))
+            changes = changes.union(read("wal", True))
+            run.opened_ms = int(time.time() * 1000)
         names = [c.name for c in table.columns]
 
         def commit(batch: DataFrame, batch_id: int) -> None:
@@ -113,33 +124,35 @@ class Streams:
             acked, held = state["acked_lsn"], f"{self.store.uri}/_streams/{d.name}/batch"
             # A load or flush that is under way holds the lock: after it, the manifest has all of its files, and none goes while they are read.
             with table.lock:
-                batch.filter(F.col(LSN) > acked).write.mode("overwrite").parquet(f"{held}/read")
-                fresh = self.spark.read.schema(schema).parquet(f"{held}/read")
-                top = fresh.agg(F.max(LSN)).first()[0]
+                top = batch.filter(F.col(LSN) > acked).agg(F.max(LSN)).first()[0]
                 if top is None:
                     return
+                past = (F.col(LSN) > acked) & (F.col(LSN) <= top)
+                fresh = batch.filter(past & F.col("__live")).drop("__live")
                 files = [f for f in table.files if f.lsn_max > acked and f.lsn_min <= top]
                 if files:
-                    fresh = fresh.union(self.store.read_files(table, files).select(*fresh.columns).filter((F.col(LSN) > acked) & (F.col(LSN) <= top)))
+                    fresh = fresh.union(self.store.read_files(table, files).select(*fresh.columns).filter(past))
                 fresh.dropDuplicates([LSN, ORD]).write.mode("overwrite").parquet(f"{held}/sent")
             rows = self.spark.read.schema(schema).parquet(f"{held}/sent").orderBy(LSN, ORD).select(*names)
-            wait = FIRST_WAIT
-            for attempt in range(RETRIES + 1):
+            wait, run.tries = FIRST_WAIT, 0
+            while True:
                 try:
                     sink.commit(rows, batch_id)
                     break
                 except Exception as e:
                     error = classified(e)
-                    if isinstance(error, FatalSinkError) or attempt == RETRIES:
-                        run.phase, run.error = "failed", str(error)
+                    run.error, run.tries = str(error), run.tries + 1
+                    if isinstance(error, FatalSinkError):
+                        run.phase = "failed"
+                        raise error from e
+                    if run.stopping.wait(wait):
                         raise error from e
-                    assert isinstance(error, TransientSinkError)
-                    time.sleep(wait)
                     wait = min(LONGEST_WAIT, wait * 2)
+            run.error = ""
             with self.store.lock:
                 state["acked_lsn"] = max(state["acked_lsn"], top)
                 self.store.save()
-            run.files_done += 1
+            self.store.collect(table)
 
         out = changes.writeStream.foreachBatch(commit).option("checkpointLocation", f"{self.store.uri}/_streams/{d.name}/checkpoint").queryName(f"tidemark-{d.name}")
         run.phase = "syncingbatch"
@@ -197,10 +210,10 @@ class Streams:
         d = self._named(unquote(r.take()))
         state, run = self.store.streams[d.name], self.running[d.name]
         phase = self.phase(d.name)
-        table = self.store.table(d.table)
-        total = len(table.files)
-        done = sum(f.lsn_max <= state["acked_lsn"] for f in table.files)
+        files = self.store.table(d.table).files
+        done = sum(f.lsn_max <= state["acked_lsn"] for f in files)
         step = {"syncingbatch": "syncing_batch", "active": "tailing_log", "completed": "completed", "failed": run.error or "failed", "suspended": "suspended"}.get(phase, "pending")
-        progress = run.query.lastProgress if run.query else None
-        rows = [(d.name, d.sink, d.mode, str(d.auto_end).lower(), phase, step, done, total, state["acked_lsn"], json.dumps({"rows": progress.numInputRows}) if progress else None)]
-        return self.spark.createDataFrame(rows, "stream_name string, connector_type string, cdc_mode string, auto_end string, phase string, step string, batch_files_done long, batch_files_total long, acked_lsn long, last_progress string")
+        if run.tries and run.error and phase != "failed":
+            phase, step = "restarting", run.error
+        row = (d.name, phase, step, d.mode, str(d.auto_end).lower(), done, len(files), state["acked_lsn"], run.opened_ms)
+        return self.spark.createDataFrame([row], "stream_name string, phase string, current_step string, cdc_mode string, auto_end string, batch_files_done long, batch_files_total long, acked_lsn long, log_channel_opened_ms long")
