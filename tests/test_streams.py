@@ -171,3 +171,49 @@ def test_kafka_options_of_the_spark_writer(spark):
     for more in ({"sink.kafka.partitioner": "round-robin"}, {"sink.kafka.delivery-guarantee": "exactly-once", "sink.kafka.acks": "all", "sink.kafka.transactional.id": "x"}):
         with pytest.raises(FatalSinkError):
             sinks.make_sink(define("s", kafka | more))._spark_kafka(MagicMock())
+
+
+def test_commits_are_tried_until_they_succeed(engine, tmp_path, monkeypatch):
+    fails, committed = {"n": 9}, []
+
+    class Flaky(sinks.NoopSink):
+        def commit(self, df, batch_id):
+            if fails["n"]:
+                fails["n"] -= 1
+                raise ConnectionError("connection reset")
+            committed.append(df.count())
+
+    from tidemark.streaming import runner
+
+    monkeypatch.setattr(runner, "make_sink", Flaky)
+    monkeypatch.setattr(runner, "FIRST_WAIT", 0.01)
+    insert(engine, 0, 10)
+    engine.execute("CREATE STREAM s WITH ('source.table'='m', 'sink.type'='noop', 'cdc.mode'='batch')")
+    engine.streams.wait("s")
+    assert committed == [10] and fails["n"] == 0 and engine.query("SHOW STREAM STATUS FOR s").collect()[0]["phase"] in ("active", "syncingbatch")
+
+
+def test_bootstrap_goes_by_a_limit_of_files(engine, tmp_path, monkeypatch):
+    out = tmp_path / "out"
+    engine.store.config = dataclasses.replace(engine.store.config, stream_files=2)
+    for i in range(7):
+        insert(engine, i * 10, i * 10 + 10)
+        engine.execute("FLUSH TABLE m")
+    engine.execute(f"CREATE STREAM s WITH ('source.table'='m', 'sink.type'='filesystem', 'sink.filesystem.path'='{out}', 'cdc.auto_end'='true')")
+    engine.streams.wait("s", 120)
+    assert sorted(r["value"] for r in engine.spark.read.parquet(f"{out}/*.parquet").collect()) == list(range(70))
+    assert len({f.split("-")[1] for f in os.listdir(out) if f.endswith(".parquet")}) >= 3
+
+
+def test_files_held_for_a_slow_stream_go_later(engine, tmp_path):
+    engine.store.config = dataclasses.replace(engine.store.config, retire_seconds=0)
+    engine.store.streams["slow"] = {"table": "m", "given": {}, "acked_lsn": 0, "done": False}
+    for i in range(3):
+        insert(engine, i, i + 1)
+        engine.execute("FLUSH TABLE m")
+    engine.compact("m")
+    t = engine.store.table("m")
+    assert len(t.retired) == 3
+    engine.store.streams["slow"]["acked_lsn"] = 3
+    assert engine.store.collect(t) == 3
+    del engine.store.streams["slow"]

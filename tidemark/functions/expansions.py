@@ -64,6 +64,8 @@ TEMPLATES = {
     ("substring", 3): "substring($0, greatest($1, 1), greatest($1 + $2 - greatest($1, 1), 0))",
     ("left", 2): "substring($0, 1, IF($1 < 0, greatest(char_length($0) + $1, 0), $1))",
     ("right", 2): "substring($0, IF($1 < 0, 1 - $1, greatest(char_length($0) - $1 + 1, 1)))",
+    ("array_element", 2): "get($0, IF($1 < 0, size($0) + $1, $1 - 1))",
+    ("array_extract", 2): "get($0, IF($1 < 0, size($0) + $1, $1 - 1))",
     ("array_ndims", 1): "size(split(typeof($0), 'array<')) - 1",
     ("array_dims", 1): _DIMS,
     ("range", 1): "IF($0 > 0, sequence(0, greatest($0 - 1, 0)), slice(array(0), 1, 0))",
@@ -183,7 +185,7 @@ def _extract(args: list[list[str]]) -> str | None:
 #: Parts that Spark counts otherwise or does not have.
 DATE_PARTS = {
     "dow": "dayofweek($1) - 1",
-    "epoch": "unix_micros(CAST($1 AS TIMESTAMP)) / 1000000.0D",
+    "epoch": "unix_micros(CAST($1 AS TIMESTAMP)) / CAST(1000000 AS DOUBLE)",
     "millisecond": "CAST(extract(SECOND FROM $1) * 1000 AS DOUBLE)",
     "milliseconds": "CAST(extract(SECOND FROM $1) * 1000 AS DOUBLE)",
     "microsecond": "CAST(extract(SECOND FROM $1) * 1000000 AS DOUBLE)",

@@ -13,7 +13,6 @@ from pyspark.sql import SparkSession
 RENAMED = {
     "array_concat": "concat", "array_cat": "concat", "array_has": "array_contains",
     "array_has_any": "arrays_overlap", "array_length": "size", "cardinality": "size",
-    "array_element": "try_element_at", "array_extract": "try_element_at",
     "array_to_string": "array_join", "array_reverse": "reverse",
     "make_array": "array", "make_list": "array", "generate_series": "sequence", "array_intersection": "array_intersect",
     "strpos": "instr", "starts_with": "startswith", "ends_with": "endswith",

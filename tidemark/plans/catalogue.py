@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..errors import EngineError
 
 #: Table -> SQL expression of its time. Times are unique per table, as a time-keyed table needs.
 TIMES = {
@@ -39,10 +41,12 @@ def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine whose tables are bulk-loaded from sf_dir, made once for each session and folder."""
     key = (id(spark.sparkContext), sf_dir)
     if key not in _engines:
-        # The engine's files belong in a folder that driver and executors share; only tests have none.
+        # The engine's files belong in a folder that driver and executors share; only a local master goes without.
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared:
             root = f"{shared.rstrip('/')}/tidemark-engine-{uuid.uuid4().hex}"
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             root = tempfile.mkdtemp(prefix="tidemark-engine-")
             atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -88,7 +92,7 @@ TEXTS: dict[str, tuple[str, str, str | None]] = {
     "join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", None),
     "join_right": ("supplier nation", "SELECT s_suppkey, n_nationkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", None),
     "join_full": ("nation supplier", "SELECT coalesce(n_nationkey, s_nationkey) AS k, s_suppkey FROM nation FULL OUTER JOIN supplier ON n_nationkey = s_nationkey", None),
-    "join_cross": ("region nation", "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation WHERE n_nationkey < 3", None),
+    "join_cross": ("region nation", "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation", None),
     "join_multi_key": ("nation supplier customer", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey", None),
     "join_string_key": ("nation", "SELECT a.n_nationkey AS x, b.n_regionkey AS y FROM nation a JOIN nation b ON a.n_name = b.n_name", None),
     "join_theta_residual": ("orders customer", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20", None),
@@ -99,6 +103,12 @@ TEXTS: dict[str, tuple[str, str, str | None]] = {
     "join_using_natural": ("nation region", "SELECT n_name, k FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_regionkey AS k FROM region)", None),
     "join_theta_only": ("region nation", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON r_regionkey > n_nationkey", None),
     "join_cte_sub": ("orders customer", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000) SELECT c_custkey, t.n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) t ON c_custkey = t.o_custkey", None),
+    "join_null_keys": ("nation region", "SELECT a.n_nationkey, b.r_name FROM (SELECT n_nationkey, nullif(n_regionkey, 0) AS k FROM nation) a LEFT JOIN (SELECT r_name, nullif(r_regionkey, 0) AS k FROM region) b ON a.k = b.k", None),
+    "join_null_keys_inner": ("nation region", "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 0) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 0) AS k FROM region) b ON a.k = b.k", None),
+    "join_cross_empty": ("nation region", "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN (SELECT r_regionkey FROM region WHERE r_regionkey < 0) r", None),
+    "join_time_range": ("events orders", "SELECT a.event_id, b.o_orderkey FROM events a JOIN orders b ON a.time = b.time AND b.time >= 100 WHERE a.time BETWEEN 50 AND 5000 AND b.time < 3000", "SELECT a.event_id, b.o_orderkey FROM events a JOIN orders b ON a.event_id = b.o_orderkey AND b.o_orderkey >= 100 WHERE a.event_id BETWEEN 50 AND 5000 AND b.o_orderkey < 3000"),
+    "join_time_self": ("events", "SELECT a.event_id AS e, b.event_id AS f FROM events a LEFT JOIN events b ON b.time = a.time - 3 AND b.time > 20 WHERE a.time < 100", "SELECT a.event_id AS e, b.event_id AS f FROM events a LEFT JOIN events b ON b.event_id = a.event_id - 3 AND b.event_id > 20 WHERE a.event_id < 100"),
+    "int_division": ("events", "SELECT event_id, event_id / 7 AS q, (event_id + 1) / 2 / 3 * 2 AS r, value / 4 AS f, -7 / 2 AS m, event_id / 2.5 > 3 AS g, (SELECT max(user_id) / 3 FROM events) AS s FROM events WHERE event_id / 2 > 3 ORDER BY event_id / 5 LIMIT 1000000", "SELECT event_id, CAST(event_id // 7 AS BIGINT) AS q, CAST((event_id + 1) // 2 // 3 * 2 AS BIGINT) AS r, value / 4 AS f, CAST(-3 AS BIGINT) AS m, event_id / 2.5 > 3 AS g, (SELECT CAST(max(user_id) // 3 AS BIGINT) FROM events) AS s FROM events WHERE event_id // 2 > 3"),
     # Aggregates
     "agg_basic": ("events", "SELECT event_type, count(*) AS c, count(value) AS cv, round(sum(value), 4) AS s, round(avg(value), 6) AS a, min(value) AS mn, max(value) AS mx FROM events GROUP BY event_type", None),
     "agg_empty": ("events", "SELECT count(*) AS c, sum(value) AS s, avg(value) AS a FROM events WHERE value < -1000000", None),
@@ -139,13 +149,21 @@ TEXTS: dict[str, tuple[str, str, str | None]] = {
     "order_limit_offset": ("events", "SELECT event_id, ts FROM events ORDER BY ts DESC LIMIT 10 OFFSET 3", None),
     "order_nulls_default": ("nation supplier", "SELECT n_nationkey, m FROM (SELECT n_nationkey, max(s_acctbal) AS m FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey < 8 GROUP BY n_nationkey) t ORDER BY m, n_nationkey LIMIT 9", "SELECT n_nationkey, m FROM (SELECT n_nationkey, max(s_acctbal) AS m FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_suppkey < 8 GROUP BY n_nationkey) t ORDER BY m NULLS LAST, n_nationkey LIMIT 9"),
     "topk": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
-    "unnest": ("nation", "SELECT n_nationkey, explode(array(n_regionkey, n_nationkey)) AS v FROM nation", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS v FROM nation"),
+    "unnest": ("nation", "SELECT n_nationkey, UNNEST(make_array(n_regionkey, n_nationkey)) AS v FROM nation", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS v FROM nation"),
+    "unnest_from": ("nation", "SELECT n_nationkey, u.v, w.x FROM nation CROSS JOIN UNNEST([n_regionkey, n_nationkey * 2]) AS u(v), UNNEST(ARRAY[7, 8]) AS w(x)", "SELECT n_nationkey, u.v, w.x FROM nation, unnest([n_regionkey, n_nationkey * 2]) u(v), unnest([7, 8]) w(x)"),
+    "unnest_alone": ("region", "SELECT u.v, r_name FROM UNNEST([0, 2, 9]) AS u(v) LEFT JOIN region ON v = r_regionkey", "SELECT u.v, r_name FROM unnest([0, 2, 9]) u(v) LEFT JOIN region ON v = r_regionkey"),
+    "sub_not_in_rows": ("nation region", "SELECT r_regionkey FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey % 5 < 2)", None),
+    "set_except_rows": ("nation region", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey AS k FROM region", None),
+    "order_lag_unordered": ("events", "SELECT count(*) AS n FROM (SELECT time - LAG(time) OVER () AS d FROM events) t WHERE d < 0", "SELECT CAST(0 AS BIGINT) AS n"),
+    "values_rows": ("region", "SELECT v.k, r_name FROM (VALUES (0, 'a'), (3, 'b')) AS v(k, l) JOIN region ON v.k = r_regionkey", None),
     # Functions
     "fn_strings": ("customer", "SELECT c_custkey, concat(c_name, NULL, ':', c_mktsegment) AS c, upper(c_name) AS u, lower(c_mktsegment) AS l, substr(c_name, 1, 3) AS s, strpos(c_name, '#') AS p, lpad(c_mktsegment, 12, '*') AS lp, replace(c_name, '0', 'o') AS r, reverse(c_mktsegment) AS rv, starts_with(c_name, 'Cust') AS sw, char_length(c_name) AS n, split_part(c_name, '#', 2) AS sp, translate(c_mktsegment, 'AE', 'ae') AS t FROM customer", "SELECT c_custkey, concat(c_name, NULL, ':', c_mktsegment) AS c, upper(c_name) AS u, lower(c_mktsegment) AS l, substr(c_name, 1, 3) AS s, strpos(c_name, '#') AS p, lpad(c_mktsegment, 12, '*') AS lp, replace(c_name, '0', 'o') AS r, reverse(c_mktsegment) AS rv, starts_with(c_name, 'Cust') AS sw, length(c_name) AS n, split_part(c_name, '#', 2) AS sp, translate(c_mktsegment, 'AE', 'ae') AS t FROM customer"),
-    "fn_regex": ("customer", "SELECT c_custkey, regexp_like(c_name, '[0-9]*7$') AS m, regexp_replace(c_name, '[0-9]', 'x', 1) AS r, regexp_count(c_name, '0') AS n FROM customer", "SELECT c_custkey, regexp_matches(c_name, '[0-9]*7$') AS m, regexp_replace(c_name, '[0-9]', 'x', 'g') AS r, len(regexp_extract_all(c_name, '0')) AS n FROM customer"),
+    "fn_regex": ("customer", r"SELECT c_custkey, regexp_like(c_name, '[0-9]*7$') AS m, regexp_replace(c_name, '0', 'x') AS r, regexp_replace(c_name, '([0-9])0', '<\1>', 'g') AS g, regexp_replace(c_name, 'CUST(omer)', '$1!', 'i') AS i, c_name ~ '1$' AS t, c_name !~* 'CUSTOMER#.*2$' AS u, regexp_count(c_name, '0') AS n FROM customer", r"SELECT c_custkey, regexp_matches(c_name, '[0-9]*7$') AS m, regexp_replace(c_name, '0', 'x') AS r, regexp_replace(c_name, '([0-9])0', '<\1>', 'g') AS g, regexp_replace(c_name, 'CUST(omer)', '\1!', 'i') AS i, regexp_matches(c_name, '1$') AS t, NOT regexp_matches(c_name, '(?i)CUSTOMER#.*2$') AS u, len(regexp_extract_all(c_name, '0')) AS n FROM customer"),
+    "fn_text_edges": ("nation", "SELECT n_nationkey, left(n_name, -1) AS a, left(n_name, 3) AS b, right(n_name, -2) AS c, right(n_name, 2) AS d, substr(n_name, 0, 3) AS e, substr(n_name, -1) AS f, substr(n_name, 3) AS g, substring(n_name, -2, 2) AS h FROM nation", "SELECT n_nationkey, left(n_name, -1) AS a, left(n_name, 3) AS b, right(n_name, -2) AS c, right(n_name, 2) AS d, substr(n_name, 1, 2) AS e, n_name AS f, substr(n_name, 3) AS g, '' AS h FROM nation"),
     "fn_math": ("events", "SELECT event_id, abs(value - 50) AS a, round(value - 50) + 0 AS r, floor(value) AS f, ceil(value) AS c, round(sqrt(abs(value)), 6) AS s, round(ln(abs(value) + 1), 6) AS l, sign(value - 50) AS g, gcd(event_id, 12) AS gc, lcm(event_id + 1, 4) AS lc, round(atan2(value, 2), 6) AS at, factorial(5) AS fa, power(event_id % 5, 2) AS pw FROM events", "SELECT event_id, abs(value - 50) AS a, round(value - 50) + 0 AS r, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, round(sqrt(abs(value)), 6) AS s, round(ln(abs(value) + 1), 6) AS l, CAST(sign(value - 50) AS DOUBLE) AS g, gcd(event_id, 12) AS gc, lcm(event_id + 1, 4) AS lc, round(atan2(value, 2), 6) AS at, CAST(factorial(5) AS BIGINT) AS fa, power(event_id % 5, 2) AS pw FROM events"),
     "fn_conditional": ("events", "SELECT event_id, nullif(event_type, 'click') AS n, coalesce(nullif(event_type, 'click'), 'none') AS c, greatest(value, 50.0) AS g, least(value, 50.0) AS l, ifnull(nullif(event_type, 'view'), 'v') AS i FROM events", None),
-    "fn_dates": ("events", "SELECT event_id, extract(YEAR FROM ts) AS y, date_part('hour', ts) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS d, to_char(ts, 'yyyy-MM-dd') AS s, date_bin(INTERVAL '15' MINUTE, ts, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS b FROM events", "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, CAST(date_part('hour', ts) AS INTEGER) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, strftime(ts, '%Y-%m-%d') AS s, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01') AS b FROM events"),
+    "fn_dates": ("events", "SELECT event_id, extract(YEAR FROM ts) AS y, date_part('hour', ts) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS d, to_char(ts, 'yyyy-MM-dd') AS s, date_bin(INTERVAL '15' MINUTE, ts, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS b, date_bin(INTERVAL '1' HOUR, ts) AS bh, date_bin(INTERVAL '7 days', ts, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS bw, date_part('dow', ts) AS w, extract(dow FROM ts) AS x, to_unixtime(ts) AS u, to_unixtime('2024-01-01') AS v FROM events", "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, CAST(date_part('hour', ts) AS INTEGER) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, strftime(ts, '%Y-%m-%d') AS s, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01') AS b, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bh, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '2024-01-01') AS bw, CAST(date_part('dow', ts) AS INTEGER) AS w, CAST(date_part('dow', ts) AS INTEGER) AS x, CAST(floor(epoch(ts)) AS BIGINT) AS u, CAST(1704067200 AS BIGINT) AS v FROM events"),
+    "fn_array_syntax": ("nation", "SELECT n_nationkey, make_array(10, 20, n_nationkey)[1] AS a, [7, n_regionkey][-1] AS b, make_array(1)[5] AS c, make_array(1)[0] AS z, array_to_string(ARRAY[1, 2, 3][2:3], ',') AS s, array_ndims([[1, 2], [3, 4]]) AS d, array_to_string(array_dims([[1, 2, n_nationkey], [3, 4, 5]]), 'x') AS e, array_length(range(2, n_nationkey)) AS r, array_to_string(range(0, 10, 3), ',') AS t, range(3)[3] AS u, map('k', n_name)['k'] AS m, typeof([1, 2]) AS y FROM nation", "SELECT n_nationkey, 10 AS a, n_regionkey AS b, CAST(NULL AS INTEGER) AS c, CAST(NULL AS INTEGER) AS z, '2,3' AS s, 2 AS d, '2x3' AS e, greatest(n_nationkey - 2, 0) AS r, '0,3,6,9' AS t, 2 AS u, n_name AS m, 'array<int>' AS y FROM nation"),
     "fn_arrays": ("nation", "SELECT n_nationkey, array_to_string(array_concat(make_array('a', n_name), make_array('z')), '-') AS j, array_length(make_array(1, 2, 3)) AS n, array_has(make_array(1, 5, n_nationkey), 5) AS h, array_element(make_array(7, 8), 2) AS e, array_position(make_array(4, 5), 5) AS p FROM nation", "SELECT n_nationkey, 'a-' || n_name || '-z' AS j, 3 AS n, true AS h, 8 AS e, 2 AS p FROM nation"),
     "fn_arrays_typed": ("nation", "SELECT n_nationkey, array_element(array_slice(make_array(n_nationkey, 20, 30, 40), -3, -2), 2) AS sl, array_element(array_replace_all(make_array(1, n_nationkey, 1), 1, 9), 1) AS rp, array_length(array_remove_all(make_array(n_nationkey, 3, 4), 3)) AS rm, array_position(make_array(7, 8), n_nationkey) AS po, array_element(array_sort(make_array(n_nationkey, 12), 'DESC'), 1) AS so FROM nation", "SELECT n_nationkey, 30 AS sl, 9 AS rp, CASE WHEN n_nationkey = 3 THEN 1 ELSE 2 END AS rm, CAST(CASE n_nationkey WHEN 7 THEN 1 WHEN 8 THEN 2 END AS BIGINT) AS po, greatest(n_nationkey, 12) AS so FROM nation"),
     "agg_ordered": ("nation", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS a, string_agg(n_name, '|' ORDER BY n_name) AS s, first_value(n_name ORDER BY n_nationkey) AS f, last_value(n_name ORDER BY n_nationkey) AS l FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS a, string_agg(n_name, '|' ORDER BY n_name) AS s, first(n_name ORDER BY n_nationkey) AS f, last(n_name ORDER BY n_nationkey) AS l FROM nation GROUP BY n_regionkey"),
@@ -224,11 +242,185 @@ def stream_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.spark.read.parquet(f"{out}/*.parquet").select(F.col("time").alias("event_id"), "event_type", "value")
 
 
+def view_after_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view, a pruned read of its table, the view again, an insert, the view again; then a view of the view."""
+    engine = _fresh(spark, sf_dir, "seen")
+    engine.execute("CREATE TABLE seen (time BIGINT NOT NULL, v BIGINT)")
+    engine.execute("INSERT INTO seen VALUES (50, 1), (150, 2), (250, 3)")
+    engine.execute("FLUSH TABLE seen")
+    engine.query("CREATE OR REPLACE VIEW every_seen AS SELECT * FROM seen")
+    engine.query("CREATE OR REPLACE VIEW late_seen (t, w) AS SELECT time, v FROM every_seen WHERE time > 100")
+    steps = [("first", "SELECT count(*) AS n FROM every_seen"), ("pruned", "SELECT count(*) AS n FROM seen WHERE time > 100"), ("again", "SELECT count(*) AS n FROM every_seen")]
+    found = [(name, engine.query(sql).collect()[0]["n"]) for name, sql in steps]
+    engine.execute("INSERT INTO seen VALUES (350, 4), (150, 5)")
+    found += [("inserted", engine.query("SELECT count(*) AS n FROM every_seen").collect()[0]["n"]), ("of the view", engine.query("SELECT sum(w) AS n FROM late_seen").collect()[0]["n"])]
+    return engine.spark.createDataFrame(found, "step string, n long")
+
+
+def time_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files each read touches, of tables of ten files by TIMESTAMP and BIGINT time; and what it finds."""
+    engine = _fresh(spark, sf_dir, "by_stamp")
+    engine.store.drop("by_number", True)
+    engine.execute("CREATE TABLE by_stamp (time TIMESTAMP(6) NOT NULL, v BIGINT)")
+    engine.execute("CREATE TABLE by_number (time BIGINT NOT NULL, v BIGINT)")
+    base = 1704067200000000
+    for i in range(10):
+        engine.execute(f"INSERT INTO by_stamp VALUES ({base + i * 86_400_000_000}, {i}), ({base + i * 86_400_000_000 + 3_600_000_000}, {i})")
+        engine.execute(f"INSERT INTO by_number VALUES ({i * 10}, {i}), ({i * 10 + 5}, {i})")
+        engine.execute("FLUSH TABLES")
+    reads = {
+        "stamp": "SELECT v FROM by_stamp WHERE time >= '2024-01-03 00:00:00' AND time < TIMESTAMP '2024-01-05 00:00:00'",
+        "stamp between": "SELECT v FROM by_stamp s WHERE s.time BETWEEN '2024-01-09' AND '2024-01-09 00:30:00'",
+        "join": "SELECT a.v FROM by_stamp a JOIN by_number b ON a.v = b.v AND b.time <= 25 WHERE a.time > '2024-01-02 12:00:00'",
+        "union": "SELECT v FROM by_number WHERE time < 10 UNION ALL SELECT v FROM by_number WHERE time >= 80",
+        "subquery": "SELECT v FROM by_number WHERE time > 60 AND v IN (SELECT v FROM by_stamp WHERE time >= '2024-01-10')",
+        "either": "SELECT v FROM by_number WHERE time < 10 OR v = 7",
+    }
+    found = [(k, len(df.inputFiles()), df.count()) for k, df in ((k, engine.query(sql)) for k, sql in reads.items())]
+    return engine.spark.createDataFrame(found, "read string, files int, n long")
+
+
+def joins_over_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins of a flushed table with overwritten rows and of one that is still in the buffer."""
+    engine = _fresh(spark, sf_dir, "layer_l")
+    engine.store.drop("layer_r", True)
+    for t in ("layer_l", "layer_r"):
+        engine.execute(f"CREATE TABLE {t} (time BIGINT NOT NULL, k VARCHAR, v BIGINT)")
+    engine.execute("INSERT INTO layer_l VALUES (1, 'a', 1), (2, 'b', 2), (3, NULL, 3)")
+    engine.execute("FLUSH TABLE layer_l")
+    engine.execute("INSERT INTO layer_l VALUES (2, 'c', 20)")
+    engine.execute("INSERT INTO layer_r VALUES (7, 'a', 10), (8, 'c', 30), (8, 'c', 40), (9, NULL, 50)")
+    return engine.query("SELECT l.time AS t, r.v AS w FROM layer_l l FULL OUTER JOIN layer_r r ON l.k = r.k")
+
+
+def insert_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal for every type, read back before and after a flush."""
+    engine = _fresh(spark, sf_dir, "typed")
+    engine.execute("CREATE TABLE typed (time TIMESTAMP NOT NULL, i8 TINYINT, u16 SMALLINT UNSIGNED, u64 BIGINT UNSIGNED, f FLOAT, d DOUBLE, b BOOLEAN, s VARCHAR, dy DATE, p DECIMAL(10,2), x BLOB, ts TIMESTAMP(6), e ENUM('on','off'), a ARRAY<INT>, st STRUCT<name VARCHAR, n INT>, deep ARRAY<STRUCT<name VARCHAR, vals INT[]>>)")
+    engine.execute("INSERT INTO typed VALUES (1704067200000, -128, 65535, 9223372036854775807, 1.5, -2.5e3, TRUE, 'it''s', '2021-06-01', 12.349, X'DEADBEEF', 1717236000000123, 'off', ARRAY[1, NULL, -3], ('n', 90), '[{\"name\":\"m\",\"vals\":[1,null]}]')")
+    engine.execute("INSERT INTO typed (time, s, p) VALUES (1704067200001, NULL, -5)")
+    text = "SELECT '{}' AS layer, CAST(time AS VARCHAR(40)) AS t, i8, u16, CAST(u64 AS VARCHAR(20)) AS u64, CAST(f AS DOUBLE) AS f, d, b, s, CAST(dy AS VARCHAR(10)) AS dy, CAST(p AS VARCHAR(12)) AS p, lower(hex(x)) AS x, CAST(ts AS VARCHAR(40)) AS ts, e, a[3] AS a3, array_length(a) AS an, st.name AS sn, st.n AS n, deep[1].vals[1] AS dv FROM typed"
+    first = engine.query(text.format("buffer"))
+    first = engine.spark.createDataFrame(first.collect(), first.schema)
+    engine.execute("FLUSH TABLE typed")
+    return first.unionByName(engine.query(text.format("file")))
+
+
+INSERT_LITERALS_SQL = """SELECT l.layer, r.* FROM (VALUES ('buffer'), ('file')) l(layer), (VALUES
+  ('2024-01-01 00:00:00', CAST(-128 AS TINYINT), 65535::INTEGER, '9223372036854775807', 1.5::DOUBLE, -2500::DOUBLE, true, 'it''s', '2021-06-01', '12.34', 'deadbeef', '2024-06-01 10:00:00.000123', 'off', -3::INTEGER, 3::INTEGER, 'n', 90::INTEGER, 1::INTEGER),
+  ('2024-01-01 00:00:00.001', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '-5.00', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
+  r(t, i8, u16, u64, f, d, b, s, dy, p, x, ts, e, a3, an, sn, n, dv)"""
+
+
+def show_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SHOW says of a table and its stream, and EXPLAIN of a query."""
+    engine = _fresh(spark, sf_dir, "shown")
+    engine.execute("CREATE TABLE shown (time TIMESTAMP(6) NOT NULL, region VARCHAR, value DOUBLE)")
+    engine.execute("INSERT INTO shown VALUES (1, 'a', 1), (1, 'b', 2), (2, 'c', 3)")
+    engine.execute("FLUSH TABLE shown")
+    out = [("tables", str(tuple(r))) for r in engine.query("SHOW TABLES").collect() if r["table_name"] == "shown"]
+    out += [("create", str(tuple(r))) for r in engine.query("SHOW CREATE TABLE shown").collect()]
+    engine.execute("CREATE STREAM shown_out WITH ('sink.type'='noop', 'source.table'='shown', 'cdc.mode'='batch', 'cdc.auto_end'='true')")
+    engine.streams.wait("shown_out", 120)
+    out += [("streams", str(tuple(r))) for r in engine.query("SHOW STREAMS").collect() if r["stream_name"] == "shown_out"]
+    out += [("stream", str(tuple(r))) for r in engine.query("SHOW STREAM shown_out").collect()]
+    status = engine.query("SHOW STREAM STATUS FOR shown_out")
+    out += [("columns", ", ".join(status.columns))] + [("status", f"{r['phase']} {r['current_step']} {r['cdc_mode']} {r['auto_end']} {r['batch_files_done']}/{r['batch_files_total']}") for r in status.collect()]
+    engine.execute("DROP STREAM shown_out")
+    out += [("explain", str("Scan parquet" in engine.query("EXPLAIN SELECT * FROM shown").collect()[0][0]))]
+    engine.execute("DROP TABLE IF EXISTS shown")
+    out += [("dropped", str(sum(r["table_name"] == "shown" for r in engine.query("SHOW TABLES").collect())))]
+    return engine.spark.createDataFrame(out, "what string, said string")
+
+
+SHOW_SQL = """SELECT * FROM (VALUES
+  ('tables', '(''shown'', 3, 1)'),
+  ('create', '(''shown'', ''CREATE TABLE shown (time TIMESTAMP(6) NOT NULL, region VARCHAR, value DOUBLE)'', 3, 1, 2)'),
+  ('streams', '(''shown_out'', ''noop'', ''batch'', ''shown'')'),
+  ('stream', '(''shown_out'', "CREATE STREAM shown_out WITH (''cdc.auto_end''=''true'', ''cdc.mode''=''batch'', ''sink.type''=''noop'', ''source.table''=''shown'')", ''sync batch -> complete'')'),
+  ('columns', 'stream_name, phase, current_step, cdc_mode, auto_end, batch_files_done, batch_files_total, acked_lsn, log_channel_opened_ms'),
+  ('status', 'completed completed batch true 1/1'), ('explain', 'True'), ('dropped', '0')) v(what, said)"""
+
+#: Statements that must be refused; each over a table refused(time BIGINT, v INT, e ENUM).
+REFUSED = [
+    "INSERT INTO refused SELECT time, v, e FROM refused", "UPDATE refused SET v = 1", "DELETE FROM refused", "INSERT INTO refused VALUES (1, 1 + 1, 'a')", "INSERT INTO refused VALUES (1, abs(1), 'a')",
+    "INSERT INTO refused VALUES (1, 1)", "INSERT INTO refused (v) VALUES (1)", "INSERT INTO refused VALUES (NULL, 1, 'a')", "INSERT INTO refused VALUES (1, 2147483648, 'a')", "INSERT INTO refused VALUES (1, 1, 'c')",
+    "INSERT INTO refused VALUES ('2024-01-01', 1, 'a')", "INSERT INTO refused (time, nope) VALUES (1, 1)", "CREATE TABLE refused (time BIGINT)", "CREATE TABLE refused2 (v INT)", "CREATE TABLE refused2 (time BIGINT, j JSON)",
+    "ALTER TABLE refused DROP COLUMN v", "ALTER TABLE refused ADD COLUMN v INT", "DROP TABLE refused_none", "FLUSH TABLE refused_none", "LOAD PARQUET '/no/such/file.parquet' INTO refused",
+    "CREATE STREAM r WITH ('sink.type'='noop', 'source.table'='refused', 'cdc.mode'='log')", "CREATE STREAM r WITH ('sink.type'='pigeon', 'source.table'='refused')", "CREATE STREAM r WITH ('sink.type'='noop', 'source.table'='a,b')",
+    "CREATE STREAM r WITH ('sink.type'='filesystem', 'source.table'='refused')", "CREATE STREAM r WITH ('sink.type'='noop', 'source.table'='refused', 'sink.kafka.topic'='x')", "DROP STREAM refused_none", "SELECT 1",
+]
+
+
+def refused_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of REFUSED raise an error of the engine's own."""
+    engine = _fresh(spark, sf_dir, "refused")
+    engine.execute("CREATE TABLE refused (time BIGINT NOT NULL, v INT, e ENUM('a','b'))")
+    out = []
+    for sql in REFUSED:
+        try:
+            engine.execute(sql)
+            out.append((sql, False))
+        except EngineError:
+            out.append((sql, True))
+    return engine.spark.createDataFrame(out, "statement string, refused boolean")
+
+
+def files_in_and_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation through COPY to CSV and back by load_file, a frame written, an external table, and a Delta log read by its protocol."""
+    engine = loaded(spark, sf_dir, "nation")
+    engine.store.drop("returned", True)
+    folder = f"{engine.store.uri}/files-{uuid.uuid4().hex}"
+    engine.query(f"COPY (SELECT n_nationkey AS time, n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey < 15) TO '{folder}/csv' STORED AS CSV")
+    engine.execute("CREATE TABLE returned (time BIGINT NOT NULL, name VARCHAR, region INT)")
+    engine.load_file("returned", f"{folder}/csv", "csv")
+    engine.write("returned", engine.query("SELECT time, n_name AS name, CAST(n_regionkey AS INT) AS region FROM nation WHERE n_nationkey >= 10"))
+    engine.query(f"COPY returned TO '{folder}/parquet' STORED AS PARQUET")
+    engine.query(f"CREATE EXTERNAL TABLE returned_files STORED AS PARQUET LOCATION '{folder}/parquet'")
+    engine.execute(f"CREATE STREAM to_delta WITH ('sink.type'='delta', 'source.table'='returned', 'sink.delta.path'='{folder}/delta', 'cdc.auto_end'='true')")
+    engine.streams.wait("to_delta", 120)
+    engine.execute("DROP STREAM to_delta")
+    log = engine.spark.read.json(f"{folder}/delta/_delta_log/*.json").filter("add is not null")
+    named = [r["path"] for r in log.select("add.path").collect()]
+    delta = engine.spark.read.parquet(*[f"{folder}/delta/{n}" for n in named]).select(F.col("time").alias("k"), "name", "region", F.lit("delta").alias("by"))
+    return engine.query("SELECT time AS k, name, region, 'external' AS by FROM returned_files").unionByName(delta)
+
+
+FILES_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, n_regionkey AS region, b.\"by\" FROM nation, (VALUES ('external'), ('delta')) b(\"by\") UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, n_regionkey, 'delta' FROM nation WHERE n_nationkey BETWEEN 10 AND 14"
+
+
+def restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read by a second engine over the same folder: files, unflushed writes, and files that a compaction replaced."""
+    root = f"{engine_for(spark, sf_dir).store.uri}/again-{uuid.uuid4().hex}"
+    with Engine(spark, root) as e:
+        e.execute("CREATE TABLE kept (time BIGINT NOT NULL, v BIGINT)")
+        for v in range(4):
+            e.execute(f"INSERT INTO kept VALUES ({v}, {v}), (100, {v})")
+            e.execute("FLUSH TABLE kept")
+        held = e.query("SELECT time AS t, v, 'open frame' AS who FROM kept")
+        e.compact("kept")
+        e.execute("INSERT INTO kept VALUES (1, 10)")
+        rows = held.collect()
+    e = Engine(spark, root)
+    return e.spark.createDataFrame(rows, held.schema).unionByName(e.query("SELECT time AS t, v, 'second engine' AS who FROM kept"))
+
+
+RESTARTED_SQL = "SELECT CAST(t AS BIGINT) AS t, CAST(v AS BIGINT) AS v, who FROM (VALUES (0, 0, 'open frame'), (1, 1, 'open frame'), (2, 2, 'open frame'), (3, 3, 'open frame'), (100, 3, 'open frame'), (0, 0, 'second engine'), (1, 10, 'second engine'), (2, 2, 'second engine'), (3, 3, 'second engine'), (100, 3, 'second engine')) v(t, v, who)"
+
+
 OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "flagship": (flagship, "SELECT event_type, count(*) AS n, round(sum(least(value, 50.0)), 4) AS s, round(avg(least(value, 50.0)), 6) AS a, max(least(value, 50.0)) AS mx FROM events GROUP BY event_type"),
     "dedup_newest": (dedup_newest, "SELECT t, event_id, value FROM (SELECT event_id % 50 AS t, event_id, value, row_number() OVER (PARTITION BY event_id % 50 ORDER BY (event_id // 50) % 4 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "write_layers": (write_layers, WRITE_LAYERS_SQL),
     "stream_export": (stream_export, "SELECT event_id, event_type, value FROM events"),
+    "view_after_prune": (view_after_prune, "SELECT step, CAST(n AS BIGINT) AS n FROM (VALUES ('first', 3), ('pruned', 2), ('again', 3), ('inserted', 4), ('of the view', 12)) v(step, n)"),
+    "time_pruning": (time_pruning, "SELECT read, CAST(files AS INTEGER) AS files, CAST(n AS BIGINT) AS n FROM (VALUES ('stamp', 2, 4), ('stamp between', 1, 1), ('join', 11, 4), ('union', 3, 6), ('subquery', 5, 2), ('either', 10, 4)) v(read, files, n)"),
+    "joins_over_layers": (joins_over_layers, "SELECT CAST(t AS BIGINT) AS t, CAST(w AS BIGINT) AS w FROM (VALUES (1, 10), (2, 40), (3, NULL), (NULL, 50)) v(t, w)"),
+    "insert_literals": (insert_literals, INSERT_LITERALS_SQL),
+    "show_statements": (show_statements, SHOW_SQL),
+    "refused_statements": (refused_statements, "SELECT * FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + "', true)" for x in REFUSED) + ") v(statement, refused)"),
+    "files_in_and_out": (files_in_and_out, FILES_SQL),
+    "restarted": (restarted, RESTARTED_SQL),
 }
 
 
