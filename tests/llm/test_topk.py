@@ -46,6 +46,17 @@ def test_small_blocks_and_groups(spark, monkeypatch):
         monkeypatch.setattr(m, name, v)
     rows = made(400, 8, 2)
     assert run(spark, rows) == brute(rows)
+    # Without room for the queries in every task they meet the data in the grid.
+    monkeypatch.setattr(m, "RESIDENT", 0)
+    rows += [(10_000, [3.0e6, -2.5e6, 1.0]), (10_001, [1.0e7])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_widths_of_blocks():
+    for x in ([[0]], [[32767, -5]], [[40000]], [[-(2**40), 1]], [[2**62]]):
+        x = m.np.array(x, m.np.int64)
+        data = m._narrow(x)
+        assert (m._wide(data, x.shape[1]) == x).all() and data[0] in (2, 4, 8)
 
 
 def test_nulls_ties_repeats_and_empty(spark):

@@ -9,14 +9,18 @@ Vectors are integers: floor(scale * x) of each component. The search is exact:
    HEAD longest, a fixed number, give each query a first threshold: its k-th
    best score so far. A query's threshold over its length says which blocks
    can hold anything for it; shorter ones are never joined to its block.
-3. Data blocks meet query blocks in a grid of groups, each of which holds a
-   bounded number of blocks, so neither side is ever copied whole to a task.
-   Within a pair, sub-blocks go by descending length: one whose longest
+3. Queries of up to RESIDENT components in all go to every task, which reads
+   its vectors by descending length and keeps each query's threshold from block
+   to block; nothing but the k best a query leaves a task. More queries meet
+   the data in a grid of groups, each of which holds a bounded number of
+   blocks: a cell brings the blocks of a data group and of a query group to a
+   task, each once, and they are searched in the same way.
+   Within a pair of blocks, sub-blocks go by descending length: one whose longest
    vector falls short for all queries ends the pair; for the others the
    rotated partial sum plus the product of the residual lengths
    (Cauchy-Schwarz) bounds each score, and what may reach the threshold is
    scored in full, in integers.
-4. Each pair emits at most k rows a query; a rank per query ends the search.
+4. Each task emits at most k rows a query; a rank per query ends the search.
 
 Rows without vec_id, and vectors that are null or hold null or non-finite
 components, take no part. Of rows that repeat a vec_id the smallest vector
@@ -35,6 +39,8 @@ from .common import Scratch
 
 #: Vectors of a block, of a sub-block, and of the head; queries of a block; blocks of a group of the grid.
 BLOCK, STEP, HEAD, QUERIES, GROUP = 4096, 512, 4096, 1024, 64
+#: Components of queries (8 bytes each) up to which all of them go to every task.
+RESIDENT = 4 << 20
 #: Share of a pair's scores above which the whole product is cheaper than its parts.
 DENSE = 0.1
 
@@ -58,26 +64,40 @@ def _moments(d: int):
     return run
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers in the fewest bytes that hold them all; the first byte tells how many."""
+    for size in (2, 4, 8):
+        kind = np.dtype(f"i{size}")
+        if size == 8 or not x.size or max(-int(x.min()), int(x.max())) <= np.iinfo(kind).max:
+            return bytes([size]) + x.astype(kind).tobytes()
+    raise AssertionError
+
+
+def _wide(data: bytes, d: int) -> np.ndarray:
+    data = memoryview(data)
+    return np.frombuffer(data[1:], f"i{data[0]}").astype(np.int64).reshape(-1, d)
+
+
+def _blocks(batches, d: int, size: int):
+    """(ids, vectors) of size rows each, as they come."""
+    ids, rows = [], []
+    for b in batches:
+        ids += b.column(0).to_pylist()
+        rows += b.column(1).to_pylist()
+        while len(ids) >= size:
+            yield np.array(ids[:size], np.int64), _matrix(rows[:size], d)
+            del ids[:size], rows[:size]
+    if ids:
+        yield np.array(ids, np.int64), _matrix(rows, d)
+
+
 def _packed(d: int, size: int):
     """Blocks of size vectors, as they come."""
 
     def run(batches):
-        ids, rows = [], []
-
-        def block():
-            x = _matrix(rows[:size], d)
+        for ids, x in _blocks(batches, d, size):
             norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-            out = pa.RecordBatch.from_arrays([pa.array([norm.max()], pa.float64()), pa.array([np.array(ids[:size], np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["longest", "ids", "vectors"])
-            del ids[:size], rows[:size]
-            return out
-
-        for b in batches:
-            ids += b.column(0).to_pylist()
-            rows += b.column(1).to_pylist()
-            while len(ids) >= size:
-                yield block()
-        if ids:
-            yield block()
+            yield pa.RecordBatch.from_arrays([pa.array([norm.max()], pa.float64()), pa.array([ids.tobytes()], pa.binary()), pa.array([_narrow(x)], pa.binary())], names=["longest", "ids", "vectors"])
 
     return run
 
@@ -109,15 +129,13 @@ def _thresholds(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
 
 
 def _query_blocks(d: int, k: int, head_ids: np.ndarray, head: np.ndarray):
+    """Blocks of queries with their first thresholds."""
+
     def run(batches):
         for b in batches:
             for ids, vectors in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                qid, q = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, d)
-                least = _thresholds(q, qid, head, head_ids, k)
-                norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                # A vector shorter than this cannot reach the threshold of any query here.
-                reach = float((least / np.maximum(norm, 1e-300)).min()) if (least > 0).all() else -1.0
-                yield pa.RecordBatch.from_arrays([pa.array([reach * (1 - 1e-9)], pa.float64()), pa.array([ids], pa.binary()), pa.array([vectors], pa.binary()), pa.array([least.tobytes()], pa.binary())], names=["reach", "qids", "queries", "least"])
+                least = _thresholds(_wide(vectors, d), np.frombuffer(ids, np.int64), head, head_ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([vectors], pa.binary()), pa.array([least.tobytes()], pa.binary())], names=["qids", "queries", "least"])
 
     return run
 
@@ -161,15 +179,60 @@ def search_pair(qid, q, least, xid, x, rotation, k, keep) -> list[tuple[np.ndarr
     return out
 
 
-def _pairs(d: int, k: int, rotation: np.ndarray, keep: int):
+class Best:
+    """The k best so far of a block of queries, and the thresholds that they give."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> None:
+        self.qid, self.q, self.k, self.least = qid, q, k, least.copy()
+        self.length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+        self.found = (np.empty(0, np.int64),) * 3
+
+    def meet(self, xid: np.ndarray, x: np.ndarray, longest: float, rotation: np.ndarray, keep: int) -> None:
+        """Searches a block of vectors, the longest of which is so long."""
+        if not (self.length * longest * (1 + 1e-9) + 1e-6 >= self.least).any():
+            return
+        for found in search_pair(self.qid, self.q, self.least, xid, x, rotation, self.k, keep):
+            rows, ids, score = (np.concatenate(v) for v in zip(self.found, found, strict=True))
+            top = _best(rows, ids, score, self.k)
+            self.found = rows[top], ids[top], score[top]
+            kth = np.full(len(self.qid), np.iinfo(np.int64).max)
+            np.minimum.at(kth, self.found[0], self.found[2])
+            full = np.bincount(self.found[0], minlength=len(kth)) >= self.k
+            self.least = np.where(full, np.maximum(self.least, kth), self.least)
+
+    def rows(self) -> pa.RecordBatch:
+        rows, ids, score = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.qid[rows]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _resident(d: int, k: int, rotation: np.ndarray, keep: int, qid: np.ndarray, q: np.ndarray, least: np.ndarray):
+    """The k best of a task's vectors for every query."""
+
     def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                qids, queries, least, ids, vectors = (b.column(i)[r].as_buffer() for i in range(5))
-                qid, q = np.frombuffer(qids, np.int64), np.frombuffer(queries, np.int64).reshape(-1, d)
-                xid, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, d)
-                for rows, vec, score in search_pair(qid, q, np.frombuffer(least, np.int64), xid, x, rotation, k, keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+        asked = [Best(qid[s : s + QUERIES], q[s : s + QUERIES], least[s : s + QUERIES], k) for s in range(0, len(qid), QUERIES)]
+        for xid, x in _blocks(batches, d, BLOCK):
+            longest = np.sqrt((x.astype(np.float64) ** 2).sum(1)).max()
+            for best in asked:
+                best.meet(xid, x, longest, rotation, keep)
+        for best in asked:
+            yield best.rows()
+
+    return run
+
+
+def _cell(d: int, k: int, rotation: np.ndarray, keep: int):
+    """The k best of a cell's vectors for each of its queries."""
+
+    def run(data: pa.Table, asked: pa.Table) -> pa.Table:
+        data = data.sort_by([("longest", "descending")])
+        out = []
+        for qids, queries, least in zip(asked["qids"], asked["queries"], asked["least"], strict=True):
+            best = Best(np.frombuffer(qids.as_buffer(), np.int64), _wide(queries.as_buffer(), d), np.frombuffer(least.as_buffer(), np.int64), k)
+            for longest, ids, vectors in zip(data["longest"], data["ids"], data["vectors"], strict=True):
+                best.meet(np.frombuffer(ids.as_buffer(), np.int64), _wide(vectors.as_buffer(), d), longest.as_py(), rotation, keep)
+            out.append(best.rows())
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -207,15 +270,21 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
 
     groups, q_groups = -(-counted["n"] // (BLOCK * GROUP)), -(-counted["q"] // (QUERIES * GROUP))
     parts = max(1, min(counted["n"] // BLOCK, 20 * groups + 6))
-    ranged = rows.select("vec_id", "v", "n2").repartitionByRange(parts, F.desc("n2"), "vec_id").sortWithinPartitions(F.desc("n2"), "vec_id")
-    data = ranged.select("vec_id", "v").mapInArrow(_packed(d, BLOCK), "longest double, ids binary, vectors binary")
-    data = data.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
-    asked = rows.filter(is_query).select("vec_id", "v").mapInArrow(_packed(d, QUERIES), "longest double, ids binary, vectors binary")
-    asked = asked.mapInArrow(_query_blocks(d, k, head_ids, head_x), "reach double, qids binary, queries binary, least binary")
-    asked = asked.withColumn("h", F.pmod(F.xxhash64("qids"), F.lit(q_groups)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = data.join(asked, (data.g == asked.g) & (data.h == asked.h) & (data.longest >= asked.reach))
-    # Pairs are dealt out evenly: a pair is work of a bounded size, and few pairs share the keys of the grid.
-    met = met.select("qids", "queries", "least", "ids", "vectors").repartition(max(6, min(counted["n"] // BLOCK * (counted["q"] // QUERIES + 1), 4096)))
-    found = met.mapInArrow(_pairs(d, k, rotation, keep), "query_id long, vec_id long, score long")
+    ranged = rows.select("vec_id", "v", "n2").repartitionByRange(parts, F.desc("n2"), "vec_id").sortWithinPartitions(F.desc("n2"), "vec_id").select("vec_id", "v")
+    queries = rows.filter(is_query).select("vec_id", "v")
+    out = "query_id long, vec_id long, score long"
+    if counted["q"] * d <= RESIDENT:
+        asked = queries.collect()
+        qid, q = np.array([r["vec_id"] for r in asked], np.int64), _matrix([r["v"] for r in asked], d)
+        least = np.concatenate([_thresholds(q[s : s + QUERIES], qid[s : s + QUERIES], head_x, head_ids, k) for s in range(0, len(qid), QUERIES)])
+        found = ranged.mapInArrow(_resident(d, k, rotation, keep, qid, q, least), out)
+    else:
+        cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        data = scratch.put(ranged.mapInArrow(_packed(d, BLOCK), "longest double, ids binary, vectors binary"), "blocks")
+        data = data.withColumn("g", cell("ids", groups)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
+        asked = queries.mapInArrow(_packed(d, QUERIES), "longest double, ids binary, vectors binary").mapInArrow(_query_blocks(d, k, head_ids, head_x), "qids binary, queries binary, least binary")
+        asked = scratch.put(asked, "queries")
+        asked = asked.withColumn("h", cell("qids", q_groups)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        found = data.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInArrow(_cell(d, k, rotation, keep), out)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
