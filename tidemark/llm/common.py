@@ -76,6 +76,11 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Drops all tables but these."""
+        self.drop(*[df for df, _ in list(self.paths.values()) if all(df is not x for x in frames)])
+
+
 @contextlib.contextmanager
 def released(spark: SparkSession):
     """Deletes, at its end, the scratch tables of operators that were called inside: their results have to be written by then."""

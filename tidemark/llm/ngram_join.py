@@ -336,6 +336,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     scratch = Scratch(spark, "ngram")
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     sets = scratch.put(text.mapInArrow(_sets(k, num, den), "doc_id long, n_shingles long, node long, bits binary, keys array<long>"), "sets")
+    known = scratch.put(sets.select("doc_id", "n_shingles", "node"), "known")
     usable = sets.filter("doc_id is not null and node is not null")
     nodes = scratch.put(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits", True).alias("bits")), "nodes")
 
@@ -343,6 +344,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     by_key = Window.partitionBy("key")
     met = entries.withColumns({"size": F.count("*").over(by_key), "least": F.min("node").over(by_key)}).filter("size > 1")
     met = scratch.put(met, "met")
+    scratch.drop(sets)
     # Keys are many, but most have the members of another key: each company is compared once.
     lists = met.filter(F.col("size") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("company"))
     lists = scratch.put(lists.filter(F.size("company") > 1).select("company").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
@@ -372,9 +374,11 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     across = pairs.join(one, ["cluster", "x"]).join(two, ["cluster", "y"]).select("mx", "my").mapInArrow(_links(num, den, True), "a long, b long")
     linked = components(within.union(across), scratch)
 
-    # The links are written: what led to them has done its work.
-    scratch.drop(met, lists, clusters, placed, blocks, pairs)
     least = nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "least")
-    out = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(linked, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")).alias("component_id"))
+    out = known.join(nodes.select("node", "rep"), "node", "left").join(linked, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")).alias("component_id"))
+    # All that led to the result has done its work.
+    out = scratch.put(out, "result")
+    scratch.keep(out)
+    return out
