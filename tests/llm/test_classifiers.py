@@ -163,6 +163,19 @@ def test_grammar_by_a_plain_walk():
         assert abs(total(" ".join(words[c] for c in classes)) - walked(classes)) < 1e-9, classes
 
 
+def test_lexicon_machine_by_plain_lookup():
+    r = random.Random(13)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    for _ in range(30):
+        weights = {"=" + word(r.randrange(3, 7)): r.random() + 1 for _ in range(12)} | {"^" + word(r.choice(toxicity.STEM_LENGTHS)): r.random() + 3 for _ in range(8)}
+        lex = toxicity.Lexicon(weights)
+        for w in [word(r.randrange(1, 11)) for _ in range(200)] + [k[1:] + word(r.randrange(3)) for k in weights] + ["you", "not", "kill", "said", "don't", '"', "other"]:
+            found = weights.get("=" + w) or next((weights["^" + w[:n]] for n in reversed(toxicity.STEM_LENGTHS) if len(w) >= n and "^" + w[:n] in weights), None)
+            fixed = {"you": "TARGET", "not": "NEGATION", "don't": "NEGATION", "kill": "THREAT", "said": "REPORT", '"': "QUOTE"}
+            assert lex.classify(w) == (("INSULT", found) if found else (fixed.get(w, "OTHER"), 1.0))
+            assert lex.classify(w) == lex.classify(w)
+
+
 def test_learned_lexicon_on_held_out_texts(spark):
     r = random.Random(3)
     truth = {i: int(r.random() < 0.3) for i in range(800)}

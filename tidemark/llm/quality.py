@@ -7,8 +7,9 @@ class prior p, positive risk p * R_p(+) and negative risk R_u(-) - p * R_p(-),
 where a step that would push the negative risk below zero is undone instead.
 
 The prior is estimated from the data: a first, biased network separates
-trusted positives from unlabelled text, each half of the rows scored by the
-network of the other half, and the prior is the least share, over its
+trusted positives from unlabelled text. It is fitted briefly, on halves of the
+rows, so that each row is scored by networks that have not seen it; the
+averages of SPLITS such scores serve. The prior is the least share, over
 thresholds, of unlabelled rows above one to positives above it (Elkan-Noto
 estimates).
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import sample_ids
 from .logistic import sigmoid
 
-POSITIVES, UNLABELLED, HIDDEN, STEPS, RATE, ENSEMBLE = 3000, 6000, 24, 600, 0.01, 3
+POSITIVES, UNLABELLED, HIDDEN, STEPS, RATE, ENSEMBLE, SPLITS = 3000, 6000, 24, 600, 0.01, 3, 5
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _LINE, _STOP, _SYMBOL, _BAR, _HIGH = range(9)
 _KIND = np.full(256, _SYMBOL, np.int64)
@@ -139,16 +140,19 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def crossed_scores(xp: np.ndarray, xu: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of positives and unlabelled rows, each from a network that was fitted on the other half of both."""
+    """Scores of positives and unlabelled rows, from networks that were fitted on the other half of both; averages over halvings."""
     x, n, m = np.vstack([xp, xu]), len(xp), len(xu)
-    y, half, z = np.arange(n + m) < n, np.arange(n + m) % 2 == 0, np.zeros(n + m)
+    y, z = np.arange(n + m) < n, np.zeros(n + m)
     g = np.where(y, 1 / n, 1 / m) * 2
-    for part in (half, ~half):
-        net = Network(x.shape[1])
-        for _ in range(steps):
-            h, out = net.forward(x[part])
-            net.step(x[part], h, g[part] * (sigmoid(out) - y[part]), 1e-3)
-        z[~part] = net.forward(x[~part])[1]
+    for seed in range(SPLITS):
+        r = np.random.default_rng(seed)
+        half = np.concatenate([r.permutation(n) % 2, r.permutation(m) % 2]) == 0
+        for part in (half, ~half):
+            net = Network(x.shape[1])
+            for _ in range(steps):
+                h, out = net.forward(x[part])
+                net.step(x[part], h, g[part] * (sigmoid(out) - y[part]), 1e-3)
+            z[~part] += net.forward(x[~part])[1]
     return z[:n], z[n:]
 
 
@@ -170,7 +174,7 @@ class PuClassifier:
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> None:
         self.mean, self.scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-6)
         xp, xu = self._z(positive), self._z(unlabelled)
-        self.prior = estimate_prior(*crossed_scores(xp, xu, STEPS // 2)) if prior is None else prior
+        self.prior = estimate_prior(*crossed_scores(xp, xu, STEPS // 4)) if prior is None else prior
         x, n = np.vstack([xp, xu]), len(xp)
         self.nets = [Network(x.shape[1], seed) for seed in range(1, ENSEMBLE + 1)]
         for net in self.nets:

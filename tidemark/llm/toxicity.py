@@ -3,17 +3,21 @@
 Clauses, not words, are scored. Three transducers are composed
 (``compose``), in the tropical semiring of summed weights:
 
-* the lexicon maps a word to its class: INSULT, THREAT, TARGET, NEGATION,
-  REPORT, QUOTE or OTHER. Insult words and stems, with their weights, are
-  learned from labelled rows; the small closed classes are fixed lists;
+* the lexicon reads letters and, at the end of a word, writes its class and
+  weight: INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE or OTHER. Its states
+  are the beginnings of known words and stems. Insult words and stems, with
+  their weights, are learned from labelled rows; the small closed classes are
+  fixed lists;
 * the scope transducer reads classes and passes an insult or threat on as
   plain, negated or reported, by what went before it in its clause;
 * the pattern transducer reads those and adds up the clause: a plain insult
   counts in full, one with a target in the clause more, a negated or reported
   one little, and a threat only counts with a target.
 
-The composed machine runs over the clauses (split at .!?; and line ends) of a
-text. A text's numbers - the sum of its clause scores, the best one, how many
+Scope and pattern are composed ahead; the lexicon, whose states are as many as
+its letters, is composed with them as a text is read, and what it writes for a
+word is kept for the next time. The machine runs over the clauses (split at
+.!?; and line ends) of a text. A text's numbers - the sum of its clause scores, the best one, how many
 matched, and their density - go into a logistic regression fitted on the
 labelled rows, which gives the score.
 
@@ -124,35 +128,60 @@ def pattern() -> Transducer:
 GRAMMAR = compose(scope(), pattern(), CLASSES)
 
 
+END, LOST = "", "\0"
+#: Words of which a task keeps what the lexicon wrote.
+KEPT = 200_000
+
+
+def lexicon_machine(words: dict[str, tuple[str, float]], stems: dict[str, tuple[str, float]]) -> Transducer:
+    """Letters in, and at END a word's class and weight out: of a known word, else of its longest known stem, else OTHER.
+
+    States are beginnings of words and stems. A letter on which none of them
+    goes on leads to the longest stem that was passed, which takes all that
+    follows, or to LOST.
+    """
+    arcs: dict = {("", END): ("", "OTHER", 1.0), (LOST, END): ("", "OTHER", 1.0)}
+    default = {"": LOST, LOST: LOST}
+    for known in (*words, *stems):
+        for i, c in enumerate(known):
+            arcs[(known[:i], c)] = (known[: i + 1], None, 0.0)
+    for stem, (kind, w) in stems.items():
+        arcs[("^" + stem, END)] = ("", kind, w)
+        default["^" + stem] = "^" + stem
+    for state in {to for to, *_ in arcs.values() if to and to not in default}:
+        passed = max((state[:i] for i in range(1, len(state) + 1) if state[:i] in stems), key=len, default=None)
+        default[state] = "^" + passed if passed else LOST
+        kind, w = words.get(state) or stems.get(passed) or ("OTHER", 1.0)
+        arcs[(state, END)] = ("", kind, w)
+    return Transducer("", arcs, default)
+
+
 class Lexicon:
-    """Word -> (class, weight). Learned stems match by their longest prefix, whole words before stems."""
+    """Word -> (class, weight), by the machine over its letters. weights: of learned words (=word) and stems (^stem)."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        self.words = {k[1:]: v for k, v in weights.items() if k[0] == "="}
-        self.stems = {k[1:]: v for k, v in weights.items() if k[0] == "^"}
-
-    def insult(self, word: str) -> float:
-        w = self.words.get(word)
-        if w is not None:
-            return w
-        for n in reversed(STEM_LENGTHS):
-            if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
-                return w
-        return 0.0
+        closed = ((THREATS, "THREAT"), (REPORTS, "REPORT"), (NEGATIONS, "NEGATION"), (TARGETS, "TARGET"), ('"«»“”„', "QUOTE"))
+        fixed = {w: (kind, 1.0) for group, kind in closed for w in group}
+        learned = {k: ("INSULT", v) for k, v in weights.items()}
+        stems = {k[1:]: v for k, v in learned.items() if k[0] == "^"}
+        # A learned stem goes before a fixed word that it begins.
+        fixed = {w: v for w, v in fixed.items() if not any(w[:n] in stems for n in STEM_LENGTHS if len(w) >= n)}
+        self.machine = lexicon_machine(fixed | {k[1:]: v for k, v in learned.items() if k[0] == "="}, stems)
+        self.kept: dict[str, tuple[str, float]] = {}
 
     def classify(self, word: str) -> tuple[str, float]:
-        w = self.insult(word)
-        if w:
-            return "INSULT", w
-        if word in TARGETS:
-            return "TARGET", 1.0
-        if word in NEGATIONS or word.endswith("n't"):
-            return "NEGATION", 1.0
-        if word in REPORTS:
-            return "REPORT", 1.0
-        if word in THREATS:
-            return "THREAT", 1.0
-        return ("QUOTE" if word in '"«»“”„' else "OTHER"), 1.0
+        found = self.kept.get(word)
+        if found is None:
+            state = self.machine.start
+            for c in word:
+                state = self.machine.step(state, c)[0]
+            _, kind, w = self.machine.step(state, END)
+            if kind == "OTHER" and word.endswith("n't"):
+                kind = "NEGATION"
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            found = self.kept[word] = kind, w
+        return found
 
 
 def clause_scores(text: str, lexicon: Lexicon) -> list[float]:
@@ -178,7 +207,7 @@ def evidence(text: str | None, lexicon: Lexicon) -> np.ndarray:
     low = (text or "").lower()
     distinct = set(WORD.findall(low))
     # A text none of whose words is an insult or a threat has no clause to score.
-    if not any(lexicon.insult(w) or w in THREATS for w in distinct):
+    if not any(lexicon.classify(w)[0] in ("INSULT", "THREAT") for w in distinct):
         return np.zeros(5)
     s = clause_scores(low, lexicon)
     n = low.count(" ") + 1
