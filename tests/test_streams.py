@@ -217,3 +217,30 @@ def test_files_held_for_a_slow_stream_go_later(engine, tmp_path):
     engine.store.streams["slow"]["acked_lsn"] = 3
     assert engine.store.collect(t) == 3
     del engine.store.streams["slow"]
+
+
+def test_exactly_once_transports_are_told_their_transaction(engine, tmp_path, monkeypatch):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    box = str(inbox)
+
+    def transport(options):
+        def send(rows):
+            import os
+
+            # A transaction that is already there was committed by an earlier try.
+            path = os.path.join(box, options["transactional.id"] + "@" + options["transaction.batch"])
+            with open(path, "w") as f:
+                f.writelines(v + "\n" for _, v in rows)
+
+        return send
+
+    monkeypatch.setitem(sinks.TRANSPORTS, "kafka", transport)
+    insert(engine, 0, 40)
+    d = define("k", {"source.table": "m", "sink.type": "kafka", "sink.kafka.brokers": "b", "sink.kafka.topic": "t", "sink.kafka.delivery-guarantee": "exactly-once", "sink.kafka.transactional.id": "tx"})
+    sink, rows = sinks.make_sink(d), engine.table("m")
+    for _ in range(2):
+        sink.commit(rows, 3)
+    files = sorted(x.name for x in inbox.iterdir())
+    assert files and all(f.startswith("tx-") and f.endswith("@3") for f in files)
+    assert sorted(json.loads(x)["value"] for f in inbox.iterdir() for x in f.read_text().splitlines()) == list(range(40))

@@ -27,6 +27,11 @@ class StorageError(EngineError):
         super().__init__(f"storage error: {what}")
 
 
+class AuthError(EngineError):
+    def __init__(self, what: str) -> None:
+        super().__init__(f"unauthenticated: {what}")
+
+
 class StreamError(EngineError):
     def __init__(self, what: str) -> None:
         super().__init__(f"stream error: {what}")

@@ -1,4 +1,4 @@
-"""Operators over time-keyed frames, for those who work without the engine."""
+"""Operators over time-keyed frames: the newest-row rule, and helpers for those who work without the engine."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.types import TIME
+TIME = "time"
 
 
 def newest_per_time(df: DataFrame, *recency: Column | str) -> DataFrame:
-    """Of rows with one time, the one that comes last by recency (columns, least to most telling)."""
+    """Of rows with one time, the one that comes last by recency (columns, the most telling first)."""
     w = Window.partitionBy(TIME).orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in recency])
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 

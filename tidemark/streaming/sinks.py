@@ -161,7 +161,9 @@ def encoded(df: DataFrame, definition: StreamDef) -> DataFrame:
 
 
 #: Transports of message sinks by sink name: called with the options, they return a function that sends an iterator of
-#: (key, value) and returns when all are acknowledged. Each partition of a batch calls one where it runs.
+#: (key, value) and returns when all are acknowledged. Each partition of a batch calls one where it runs. Of an
+#: exactly-once sink, options tell the transaction of the partition: transactional.id is its own, which a repeated try
+#: of the batch has again, and transaction.batch is the batch; a batch that was committed under it is not sent again.
 TRANSPORTS: dict[str, Callable[[dict], Callable]] = {}
 
 
@@ -177,9 +179,20 @@ class MessageSink(Sink):
         if not make:
             raise FatalSinkError(f"{self.d.sink} connector not available: register a transport")
         options = dict(self.o)
+        exact = options.get("delivery-guarantee") == "exactly-once"
+        if exact:
+            # Partitions have to be the same when a batch is tried again: by order of all columns.
+            rows = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "key", "value").sortWithinPartitions("key", "value")
+            options.setdefault("transactional.id", self.d.name)
 
         def send(part):
-            make(options)((r["key"], r["value"]) for r in part)
+            if exact:
+                from pyspark import TaskContext
+
+                own = {"transactional.id": f"{options['transactional.id']}-{TaskContext.get().partitionId()}", "transaction.batch": str(batch_id)}
+                make(options | own)((r["key"], r["value"]) for r in part)
+            else:
+                make(options)((r["key"], r["value"]) for r in part)
 
         rows.foreachPartition(send)
 
