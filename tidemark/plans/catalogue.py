@@ -405,6 +405,77 @@ def restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.spark.createDataFrame(rows, held.schema).unionByName(e.query("SELECT time AS t, v, 'second engine' AS who FROM kept"))
 
 
+def empty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates over a table without a row, beside its joins and what it weighs."""
+    engine = _fresh(spark, sf_dir, "nothing")
+    engine.execute("CREATE TABLE nothing (time TIMESTAMP NOT NULL, v BIGINT, s VARCHAR)")
+    loaded(spark, sf_dir, "region")
+    out = engine.query("SELECT count(*) AS n, sum(v) AS s, max(s) AS m, (SELECT count(*) FROM region LEFT JOIN nothing ON r_regionkey = v) AS j, (SELECT count(*) FROM region CROSS JOIN nothing) AS c FROM nothing WHERE time > '2020-01-01'")
+    before = engine.memory_stats()["used"]
+    engine.execute("INSERT INTO nothing VALUES (1, 2, 'x')")
+    held = engine.memory_stats()["used"] > before
+    engine.execute("FLUSH TABLE nothing")
+    return out.withColumns({"held": F.lit(held), "freed": F.lit(engine.memory_stats()["used"] == before), "bounded": F.lit(engine.memory_stats()["limit"] > 0)})
+
+
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that a second engine takes up: every row leaves once, whatever was flushed, compacted or written in between."""
+    root = f"{engine_for(spark, sf_dir).store.uri}/streamed-{uuid.uuid4().hex}"
+    with Engine(spark, root) as e:
+        out = os.path.join(e.store.root, "sink")
+        e.execute("CREATE TABLE moved (time BIGINT NOT NULL, v BIGINT)")
+        e.execute("INSERT INTO moved VALUES " + ", ".join(f"({i}, {i})" for i in range(10)))
+        e.execute(f"CREATE STREAM moving WITH ('sink.type'='filesystem', 'source.table'='moved', 'sink.filesystem.path'='{out}')")
+        e.streams.wait("moving", 120)
+        e.execute("INSERT INTO moved VALUES " + ", ".join(f"({i}, {i})" for i in range(10, 20)))
+        e.execute("FLUSH TABLE moved")
+    with Engine(spark, root) as e:
+        e.execute("INSERT INTO moved VALUES " + ", ".join(f"({i}, {i})" for i in range(20, 30)))
+        e.execute("FLUSH TABLE moved")
+        e.compact("moved")
+        e.execute("INSERT INTO moved VALUES (5, 500)")
+        e.streams.wait("moving", 120)
+        e.execute("FLUSH TABLE moved")
+        e.streams.wait("moving", 120)
+    return spark.read.parquet(f"{out}/*.parquet").select(F.col("time").alias("t"), "v")
+
+
+def _to_folder(options: dict) -> Callable:
+    """A transport that appends messages to files of a folder, for the query below."""
+    import uuid as ids
+
+    def send(rows) -> None:
+        found = list(rows)
+        if found:
+            with open(os.path.join(options["service-url"], ids.uuid4().hex + ".json"), "w") as f:
+                f.writelines(f'{{"k": {k or "null"}, "v": {v}}}\n' for k, v in found)
+
+    return send
+
+
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hybrid stream to a message sink: rows leave before they are flushed, and once."""
+    from ..streaming.sinks import TRANSPORTS
+
+    engine = _fresh(spark, sf_dir, "live")
+    box = os.path.join(engine.store.root, f"box-{uuid.uuid4().hex}")
+    os.makedirs(box)
+    TRANSPORTS["pulsar"] = _to_folder
+    engine.execute("CREATE TABLE live (time BIGINT NOT NULL, region VARCHAR, v BIGINT)")
+    engine.execute("INSERT INTO live VALUES (1, 'a', 1), (2, 'b', 2)")
+    engine.execute(f"CREATE STREAM living WITH ('sink.type'='pulsar', 'source.table'='live', 'sink.pulsar.topic'='t', 'sink.pulsar.service-url'='{box}', 'sink.pulsar.admin-url'='a', 'sink.pulsar.key.fields'='region')")
+    engine.streams.wait("living", 120)
+    engine.execute("INSERT INTO live VALUES (3, 'a', 3)")
+    engine.streams.wait("living", 120)
+    early = len(os.listdir(box))
+    engine.execute("FLUSH TABLE live")
+    engine.streams.wait("living", 120)
+    engine.execute("INSERT INTO live VALUES (4, NULL, 4)")
+    engine.streams.wait("living", 120)
+    engine.execute("DROP STREAM living")
+    return engine.spark.read.json(box).select("k.region", F.col("v.time").alias("t"), F.col("v.v").alias("v"), F.lit(early > 1).alias("early"))
+
+
 RESTARTED_SQL = "SELECT CAST(t AS BIGINT) AS t, CAST(v AS BIGINT) AS v, who FROM (VALUES (0, 0, 'open frame'), (1, 1, 'open frame'), (2, 2, 'open frame'), (3, 3, 'open frame'), (100, 3, 'open frame'), (0, 0, 'second engine'), (1, 10, 'second engine'), (2, 2, 'second engine'), (3, 3, 'second engine'), (100, 3, 'second engine')) v(t, v, who)"
 
 
@@ -421,6 +492,9 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "refused_statements": (refused_statements, "SELECT * FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + "', true)" for x in REFUSED) + ") v(statement, refused)"),
     "files_in_and_out": (files_in_and_out, FILES_SQL),
     "restarted": (restarted, RESTARTED_SQL),
+    "empty_table": (empty_table, "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS s, CAST(NULL AS VARCHAR) AS m, CAST(5 AS BIGINT) AS j, CAST(0 AS BIGINT) AS c, true AS held, true AS freed, true AS bounded"),
+    "stream_restart": (stream_restart, "SELECT range AS t, range AS v FROM range(30) UNION ALL SELECT 5, 500"),
+    "stream_live": (stream_live, "SELECT region, CAST(t AS BIGINT) AS t, CAST(t AS BIGINT) AS v, true AS early FROM (VALUES ('a', 1), ('b', 2), ('a', 3), (NULL, 4)) x(region, t)"),
 }
 
 
