@@ -133,6 +133,7 @@ TEXTS: dict[str, tuple[str, str, str | None]] = {
     "win_range": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY time RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW), 6) AS s FROM events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW), 6) AS s FROM events"),
     "win_whole": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type), 4) AS s, count(*) OVER (PARTITION BY user_id) AS c FROM events", None),
     "win_ntile_pct": ("events", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY event_type ORDER BY ts) AS BIGINT) AS q, percent_rank() OVER (PARTITION BY event_type ORDER BY ts) AS p, cume_dist() OVER (PARTITION BY event_type ORDER BY ts) AS c FROM events", None),
+    "win_groups": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s, count(*) OVER (ORDER BY e.user_id DESC GROUPS CURRENT ROW) AS c FROM events e WHERE value > 20", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s, count(*) OVER (ORDER BY user_id DESC GROUPS BETWEEN CURRENT ROW AND CURRENT ROW) AS c FROM events WHERE value > 20"),
     "win_first_last": ("events", "SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 2) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", None),
     # Subqueries, CTEs, sets, order
     "sub_in": ("customer orders", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", None),
