@@ -86,6 +86,8 @@ class DeltaSink(ParquetFolder):
     """Data files plus a commit of the open table protocol, written as JSON; a txn action makes repeats harmless."""
 
     ATTEMPTS = 5
+    #: Of the log: the last version read, and this stream's last batch in it.
+    _read = _last = -1
 
     def commit(self, df: DataFrame, batch_id: int) -> None:
         fs, base, _ = self.folder()
@@ -110,16 +112,18 @@ class DeltaSink(ParquetFolder):
         raise TransientSinkError("delta commit lost every race for the next version")
 
     def _state(self, fs: pafs.FileSystem, log: str) -> tuple[int, int]:
-        """(latest version, last batch of this stream)"""
+        """(latest version, last batch of this stream); versions that were read before are not read again."""
         names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(log)) if i.base_name.endswith(".json"))
-        last = -1
         for n in names:
+            if int(n[:20]) <= self._read:
+                continue
             with fs.open_input_stream(f"{log}/{n}") as f:
                 for line in f.read().decode().splitlines():
                     txn = json.loads(line).get("txn")
                     if txn and txn["appId"] == f"tidemark-{self.d.name}":
-                        last = max(last, txn["version"])
-        return (int(names[-1][:20]) if names else -1), last
+                        self._last = max(self._last, txn["version"])
+            self._read = int(n[:20])
+        return (int(names[-1][:20]) if names else -1), self._last
 
     def _create(self, fs: pafs.FileSystem, path: str, text: str) -> bool:
         if isinstance(fs, pafs.LocalFileSystem):
