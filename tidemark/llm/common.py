@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of every operator here: space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
+#: Ranges of hashes whose sizes tell where a sample ends.
+PARTS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,14 +99,20 @@ def sample_ids(rows: DataFrame, per_class: int, key: str = "doc_id", by: str = "
 
     A class is first cut to the ids whose hashes lie below a bound. By the
     class's count, about twice per_class ids do, and fewer than per_class with
-    a chance under 1e-20. So what meets in a class's task to be ranked does
-    not grow with the class.
+    a chance under 1e-20. Counts over PARTS ranges below the bound then tell
+    the range in which the last id lies, and only that one is ranked: no
+    class, and not even its sample, meets in a task.
     """
     ids = rows.select(key, by).distinct().withColumn("_h", F.xxhash64(key, F.lit(seed)))
     most = 2 * per_class + 400
-    counts = ids.groupBy(by).agg(F.count("*").alias("_n"))
-    least = ids.join(counts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
-    share = F.col("_h").cast("double") / float(1 << 64) + 0.5
-    near = least.filter(share * F.col("_n") <= most).select(key, by, "_h")
-    w = Window.partitionBy(by).orderBy("_h", key)
-    return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_class).select(key, by)
+    counts = ids.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by")
+    place = (F.col("_h").cast("double") / float(1 << 64) + 0.5) * F.col("_n") / most
+    near = ids.join(counts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_place", place).filter("_place <= 1")
+    near = Scratch(rows.sparkSession, "sample").put(near.select(key, by, "_h", F.floor(F.col("_place") * PARTS).alias("_part")), "near")
+    sizes = near.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_by").orderBy("_p")) - F.col("_c")
+    sizes = sizes.withColumn("_room", per_class - before).filter("_room > 0")
+    near = near.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    whole = near.filter("_c <= _room").select(key, by)
+    rank = F.row_number().over(Window.partitionBy(by, "_part").orderBy("_h", key))
+    return whole.union(near.filter("_c > _room").withColumn("_rn", rank).filter("_rn <= _room").select(key, by))
