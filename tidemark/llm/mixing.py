@@ -18,8 +18,8 @@ that block is ranked by document. So a source with most of the rows does not
 meet in a task, and documents are told by a look at their source's row alone:
 no document moves but those of the cut blocks.
 
-Sources are not gathered on the driver; each step of the bisection is a sum
-over their table. That table is broadcast up to SOURCES rows and joined as it
+Sources are not gathered on the driver: the bisection reads sums over their
+table, of STRIDE exponents at a time. That table is broadcast up to SOURCES rows and joined as it
 is beyond.
 
 Null sources are a source of their own, null texts have no tokens. A document
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-GRID, BLOCK_TOKENS, SEED = 1024, 65536, "mix"
+GRID, STRIDE, BLOCK_TOKENS, SEED = 1024, 32, 65536, "mix"
 #: Shares are read at this many decimal places, so that the exponent does not hang on the order of sums.
 PLACES = 9
 #: Rows of the table of sources, about 100 bytes each, up to which it is broadcast.
@@ -97,9 +97,17 @@ def plan(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | Non
     share = F.col("tokens") / float(total)
     some = sums.filter("tokens > 0")
 
+    seen: dict[int, Row] = {}
+
     def parts(x: float) -> Row:
-        r = F.pow(share, F.lit(x))
-        return some.agg(F.sum(r).alias("norm"), F.sum(r * F.log(share)).alias("logs"), F.max(r / F.col("tokens")).alias("most")).first()
+        i = round(x * GRID)
+        if i not in seen:
+            # One look at the table serves STRIDE places of the bisection: every STRIDE-th, or those between two of them.
+            at = range(0, GRID + 1, STRIDE) if i % STRIDE == 0 else range(i // STRIDE * STRIDE + 1, i // STRIDE * STRIDE + STRIDE)
+            r = F.pow(share, F.col("i") / float(GRID))
+            found = some.withColumn("i", F.explode(F.array(*map(F.lit, at)))).groupBy("i")
+            seen.update({p["i"]: p for p in found.agg(F.sum(r).alias("norm"), F.sum(r * F.log(share)).alias("logs"), F.max(r / F.col("tokens")).alias("most")).collect()})
+        return seen[i]
 
     def measure(x: float) -> tuple[float, float]:
         p = parts(x)
