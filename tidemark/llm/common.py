@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +97,20 @@ def released(spark: SparkSession):
             _delete(spark, root)
 
 
+def tidied(run: Callable) -> Callable:
+    """A function over Arrow batches that hands memory back when its task ends: workers wait for the next task, and those of one stage for another's."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def sample_ids(rows: DataFrame, per_class: int, key: str = "doc_id", by: str = "label", seed: int = 7) -> DataFrame:
     """Up to per_class ids of each class, those first in the order of a hash.
 

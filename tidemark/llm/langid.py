@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sample_ids
+from .common import Scratch, sample_ids, tidied
 
 DIM, LANDMARKS, PER_CLASS, RIDGE, BATCH, BROADCAST_ROWS = 1 << 14, 192, 400, 1e-2, 64, 500_000
 
@@ -119,7 +119,7 @@ def _predicted(model: KernelRidge | None):
                     lang[i], score[i] = model.classes[c], min(1.0, float(v))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return run
+    return tidied(run)
 
 
 def identify(docs: DataFrame, learn_from: Column) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -123,7 +123,7 @@ def _sets(k: int, num: int, den: int):
                     keys.append(cell_keys(h, classes) if new else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bits", "keys"])
 
-    return run
+    return tidied(run)
 
 
 def _bucket_edges(num: int, den: int):
@@ -151,7 +151,7 @@ def _bucket_edges(num: int, den: int):
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _payloads(k: int):
@@ -167,7 +167,7 @@ def _payloads(k: int):
                         rows[x].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if x == "shingles" else pa.int64()) for x, v in rows.items()], names=list(rows))
 
-    return run
+    return tidied(run)
 
 
 # ---- the tree -------------------------------------------------------------
@@ -279,7 +279,7 @@ def _links(num: int, den: int, two: bool):
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _summaries(batches):

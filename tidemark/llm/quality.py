@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids
+from .common import sample_ids, tidied
 from .logistic import sigmoid
 
 POSITIVES, UNLABELLED, HIDDEN, STEPS, RATE, ENSEMBLE, SPLITS = 3000, 6000, 24, 600, 0.01, 3, 5
@@ -219,7 +219,7 @@ def _scored(model: PuClassifier | None):
             s = model.scores(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return run
+    return tidied(run)
 
 
 def score(docs: DataFrame, trusted: DataFrame, prior: float | None = None) -> DataFrame:
@@ -239,7 +239,7 @@ def _kept(model: PuClassifier | None, names: list[str], least: float):
             good = model.scores(x) >= least if model else np.ones(len(x), bool)
             yield b.filter(pa.array(good))
 
-    return run
+    return tidied(run)
 
 
 def kept(docs: DataFrame, model: PuClassifier | None, least: float) -> DataFrame:

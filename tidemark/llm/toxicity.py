@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sample_ids
+from .common import Scratch, sample_ids, tidied
 from .logistic import logistic
 
 PER_CLASS, MIN_TEXTS, MIN_ODDS = 4000, 8, 12.0
@@ -281,7 +281,7 @@ def _scored(model: Model | None):
             s = [model.score(t.as_py()) if model else 0.0 for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return run
+    return tidied(run)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
