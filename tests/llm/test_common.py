@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +33,28 @@ def test_scratch_tables_go(spark, tmp_path):
     with pytest.raises(Exception):
         spark.read.parquet(s.root + "/2-t").count()
     assert common.shared_dir(spark)
+
+
+def shuffled(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p for d in dirs for p in Path(d).rglob("shuffle_*")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, was = shuffled(spark), spark.conf.get(common.CLEANUP)
+    s = common.Scratch(spark, "shuffles")
+    s.put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(5), F.col("k") == F.col("id")))
+    until = time.time() + 20
+    while (left := shuffled(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common.CLEANUP) == was
+
+
+def test_slices_make_the_whole(spark):
+    s = common.Scratch(spark, "slices")
+    rows = spark.range(1000).withColumn("k", F.col("id") % 37)
+    got = s.put_sliced(rows, "k", lambda part: part.groupBy("k").agg(F.sum("id").alias("n")), 4)
+    assert sorted(map(tuple, got.collect())) == [(k, sum(range(k, 1000, 37))) for k in range(37)]
+    assert 1 < len(paths := s.paths[id(got)][1]) and all(0 < spark.read.parquet(p).count() < 37 for p in paths)
+    s.drop(got)
+    assert not s.paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)
