@@ -107,3 +107,15 @@ def test_repeated_doc_ids_of_different_texts_lose_no_link(spark):
     got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
     want = brute(rows, 3, 90, 100)
     assert got == want and {c % 100 for _, _, c in want} == {5}
+
+
+def test_keys_and_buckets_are_shuffled_in_parts(spark, monkeypatch):
+    from tidemark.llm.common import Scratch
+
+    names, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name="t": names.append(name) or put(self, df, name))
+    words = [[f"g{g}w{i}" for i in range(60)] for g in range(8)]
+    rows = [(10 * g + c, " ".join([*w[:c], "other", *w[c + 1 :]])) for g, w in enumerate(words) for c in (0, 1, 59)]
+    got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    assert got == brute(rows, 3, 90, 100) and len({c for _, _, c in got}) < len(got)
+    assert {f"{x}-{i}" for x in ("met", "edges") for i in range(4)} <= set(names)

@@ -46,6 +46,8 @@ from .shingles import mix, shingle_set
 RATIO, LEAF_DOCS, LEAF_SHINGLES, BITS, FAN = 1.25, 256, 200_000, 2048, 16
 #: Members of a key up to which they are compared at once; blocks of a chunk; nodes up to which their ids are broadcast, 8 bytes each.
 BUCKET, CHUNK, BROADCAST_ROWS = 2048, 1024, 500_000
+#: Parts of the keys, and of their buckets, that are shuffled one after another.
+SLICES = 4
 
 
 class SizeClasses:
@@ -342,14 +344,14 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
 
     entries = usable.select("node", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
-    met = entries.withColumns({"size": F.count("*").over(by_key), "least": F.min("node").over(by_key)}).filter("size > 1")
-    met = scratch.put(met, "met")
+    met = lambda rows: rows.withColumns({"size": F.count("*").over(by_key), "least": F.min("node").over(by_key)}).filter("size > 1")
+    met = scratch.put_sliced(entries, "key", met, SLICES, "met")
     scratch.drop(sets)
     # Keys are many, but most have the members of another key: each company is compared once.
     lists = met.filter(F.col("size") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("company"))
     lists = scratch.put(lists.filter(F.size("company") > 1).select("company").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
-    buckets = lists.select("list", F.explode("company").alias("node")).join(nodes, "node").groupBy("list").agg(F.collect_list(F.struct("node", "n_shingles", "bits")).alias("members"))
-    edges = buckets.select("members").mapInArrow(_bucket_edges(num, den), "a long, b long")
+    buckets = lambda rows: rows.select("list", F.explode("company").alias("node")).join(nodes, "node").groupBy("list").agg(F.collect_list(F.struct("node", "n_shingles", "bits")).alias("members"))
+    edges = scratch.put_sliced(lists, "list", lambda rows: buckets(rows).select("members").mapInArrow(_bucket_edges(num, den), "a long, b long"), SLICES, "edges")
     large = met.filter(F.col("size") > BUCKET).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = scratch.put(components(edges.union(large), scratch).select("node", F.col("component").alias("cluster")), "clusters")
 
