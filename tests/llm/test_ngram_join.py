@@ -119,3 +119,30 @@ def test_keys_and_buckets_are_shuffled_in_parts(spark, monkeypatch):
     got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
     assert got == brute(rows, 3, 90, 100) and len({c for _, _, c in got}) < len(got)
     assert {f"{x}-{i}" for x in ("met", "edges") for i in range(4)} <= set(names)
+
+
+def test_sets_without_a_common_shingle_share_hardly_a_key():
+    import numpy as np
+
+    from tidemark.llm.ngram_join import SizeClasses, cell_keys
+
+    r = np.random.default_rng(3)
+    for num, sizes in ((80, (20, 60, 380)), (90, (20, 380))):
+        for n in sizes:
+            classes = SizeClasses(num, 100)
+            keys = np.concatenate([cell_keys(np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)), classes) for _ in range(2000)])
+            # No cell without content is a key of many.
+            assert np.unique(keys, return_counts=True)[1].max() <= 20
+
+
+def test_pairs_of_blocks_are_made_in_parts(spark, monkeypatch):
+    import tidemark.llm.ngram_join as m
+    from tidemark.llm.common import Scratch
+
+    names, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name="t": names.append(name) or put(self, df, name))
+    for name, value in (("LEAF_DOCS", 4), ("PAIRED", 1)):
+        monkeypatch.setattr(m, name, value)
+    rows = [(c, " ".join([*[f"w{i}" for i in range(c)], "other", *[f"w{i}" for i in range(c + 1, 120)]])) for c in range(40)]
+    got = sorted(map(tuple, m.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    assert got == brute(rows, 3, 90, 100) and "across-2" in names

@@ -8,8 +8,9 @@ shingles is at least num/den. The join is exact up to 64-bit hash collisions:
 2. Nodes whose sets could link are brought together. For the smaller set's
    size class [lo, hi], linked sets differ in at most D = hi*(den-num)/num
    shingles. The hash space is cut into more than D cells; linked sets agree
-   in all of some cell, so they share the key of that cell's content. Cells
-   with little content are left out as far as a set has spare cells. Of a
+   in all of some cell, so they share the key of that cell's content. There
+   are a few cells to spare, and as many of a set's with the least content are
+   left out, so that hardly a key stands for an empty cell. Of a
    key's members the bitmaps are compared: a pair that could link by them is
    an edge (not all edges: a spanning forest). Keys with more than BUCKET
    members are not compared; all their members hang on the least one. The
@@ -21,6 +22,8 @@ shingles is at least num/den. The join is exact up to 64-bit hash collisions:
    surviving documents are verified on the exact sets. Pairs of blocks are
    separate rows, and so are pairs of chunks of blocks before, so a very large
    cluster spreads over tasks, and a block pair only emits the links that join parts it had not joined yet.
+   Pairs of blocks hold a block once for each partner: they are made in as many
+   parts, one after another, as keep each about as large as all blocks.
 4. Components of the verified links give each document its class.
 
 Null or wordless texts have empty sets and link with nothing. Rows without
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidied
+from .common import Scratch, tidied, unshuffled
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -48,6 +51,8 @@ RATIO, LEAF_DOCS, LEAF_SHINGLES, BITS, FAN = 1.25, 256, 200_000, 2048, 16
 BUCKET, CHUNK, BROADCAST_ROWS = 2048, 1024, 500_000
 #: Parts of the keys, and of their buckets, that are shuffled one after another.
 SLICES = 4
+#: Bytes of blocks that a part of the pairs of blocks may hold in any case.
+PAIRED = 1 << 29
 
 
 class SizeClasses:
@@ -59,8 +64,8 @@ class SizeClasses:
         while self.lo[-1] < 1 << 40:
             self.lo.append(max(self.lo[-1] + 1, int(self.lo[-1] * RATIO)))
 
-    def of(self, n: int) -> list[tuple[int, int, int, int]]:
-        """(class, differences + 1, cells, least content of a strong cell) of each class that a set of n shingles may meet a partner in."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, differences + 1, cells) of each class that a set of n shingles may meet a partner in."""
         out = []
         c = int(np.searchsorted(self.lo, n, side="right")) - 1
         for g in range(c, -1, -1):
@@ -72,24 +77,26 @@ class SizeClasses:
                 need = differ + 1
                 # By the class alone: both sides have to cut into the same cells.
                 per = self.lo[g] / need
-                spare = int(need * (0.25 if per < 5 else 0.06)) if need > 8 else 0
-                out.append((g, need, need + spare, 1 if need <= 8 else 2 if per < 5 else 3))
+                out.append((g, need, need + max(1, int(need * (0.25 if per < 5 else 0.06)))))
         return out
 
 
 def cell_keys(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys of a sorted set: one for each strong cell, and for weak ones where they outnumber the spare cells."""
+    """Keys of a sorted set: one for each cell but as many of the weakest as are spare.
+
+    Sets that link agree in more cells than are spare. Weakness goes by a cell's
+    content alone, so of the cells in which two sets agree each has more than
+    the spare ones below the strongest: both have its key.
+    """
     keys = []
     c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h))))
-    for g, need, cells, strong in classes.of(len(h)):
+    for g, need, cells in classes.of(len(h)):
         edges = np.arange(cells + 1, dtype=np.uint64) * np.uint64((1 << 64) // cells)
         at = np.searchsorted(h, edges)
         at[-1] = len(h)
         count = np.diff(at)
         own = mix(mix(c[at[1:]] - c[at[:-1]]) + np.arange(cells, dtype=np.uint64) + np.uint64(g << 32))
-        # Sets that link agree in at least cells - need + 1 cells. Weak ones among them are at most the set's own.
-        weak = count < strong
-        keys.append(own if weak.sum() > cells - need else own[~weak])
+        keys.append(own[np.lexsort((own, count))[cells - need :]])
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
@@ -329,6 +336,17 @@ def _placed(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("cluster", "node", "rep", F.xxhash64("i", "j", F.when(F.col("parts") > 1, F.concat_ws(":", "_n", F.pmod(F.xxhash64("node"), "parts")))).alias("block"))
 
 
+def _parts(blocks: DataFrame, pairs: DataFrame) -> int:
+    """Parts of the pairs, of which each holds about as many bytes as all blocks together, or PAIRED."""
+    if pairs.isEmpty():
+        return 1
+    sizes = blocks.select("cluster", "block", F.aggregate("members", F.lit(0).cast("long"), lambda s, m: s + F.length(m["shingles"]).cast("long")).alias("size"))
+    ends = pairs.select("cluster", F.explode(F.array("x", "y")).alias("block"))
+    with unshuffled(pairs.sparkSession):
+        paired = ends.groupBy("cluster", "block").agg(F.count("*").alias("n")).join(sizes, ["cluster", "block"]).agg(F.sum(F.col("n") * F.col("size"))).first()[0]
+        return -int(-paired // max(PAIRED, sizes.agg(F.sum("size")).first()[0]))
+
+
 # ---- the join -------------------------------------------------------------
 
 
@@ -373,8 +391,9 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     pairs = scratch.put(wide.groupBy("cluster", "p", "q").applyInPandas(_block_pairs(num, den), "cluster long, x long, y long"), "pairs")
     one = blocks.select("cluster", F.col("block").alias("x"), F.col("members").alias("mx"))
     two = blocks.select("cluster", F.col("block").alias("y"), F.col("members").alias("my"))
-    across = pairs.join(one, ["cluster", "x"]).join(two, ["cluster", "y"]).select("mx", "my").mapInArrow(_links(num, den, True), "a long, b long")
-    linked = components(within.union(across), scratch)
+    across = lambda rows: rows.join(one, ["cluster", "x"]).join(two, ["cluster", "y"]).select("mx", "my").mapInArrow(_links(num, den, True), "a long, b long")
+    links = within.union(scratch.put_sliced(pairs, "x", across, _parts(blocks, pairs), "across"))
+    linked = components(links, scratch)
 
     least = nodes.select("node", "rep").join(linked, "node").groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "least")
