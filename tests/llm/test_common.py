@@ -58,3 +58,17 @@ def test_slices_make_the_whole(spark):
     assert 1 < len(paths := s.paths[id(got)][1]) and all(0 < spark.read.parquet(p).count() < 37 for p in paths)
     s.drop(got)
     assert not s.paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
+def test_among_keeps_all_of_the_ids_and_few_others(spark):
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = rows.filter("doc_id % 7 = 3").select("doc_id")
+    found = common.among(rows, ids)
+    assert found.columns == rows.columns
+    got, want = {r["doc_id"] for r in found.collect()}, {r["doc_id"] for r in ids.collect()}
+    assert want <= got and len(got - want) < 200
+    assert common.among(rows, ids.limit(0)).collect() == []
+    # What goes through the driver does not grow with the ids.
+    many = spark.range(1_000_000).select(F.col("id").alias("doc_id"))
+    sizes = common.among(rows, many)._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in sizes and common.FILTER_BITS // 8 <= 4 << 20

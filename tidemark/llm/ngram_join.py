@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidied, unshuffled
+from .common import Scratch, among, tidied, unshuffled
 from .components import components
 from .shingles import mix, shingle_set
 
 #: Ratio of the size classes, documents and shingles of a leaf block, bits of a bitmap, children of a tree node.
 RATIO, LEAF_DOCS, LEAF_SHINGLES, BITS, FAN = 1.25, 256, 200_000, 2048, 16
-#: Members of a key up to which they are compared at once; blocks of a chunk; nodes up to which their ids are broadcast, 8 bytes each.
-BUCKET, CHUNK, BROADCAST_ROWS = 2048, 1024, 500_000
+#: Members of a key up to which they are compared at once; blocks of a chunk; nodes up to which a bitmap of their ids is broadcast, of 2 MB at most.
+BUCKET, CHUNK, BROADCAST_ROWS = 2048, 1024, 16_000_000
 #: Parts of the keys, and of their buckets, that are shuffled one after another.
 SLICES = 4
 #: Bytes of blocks that a part of the pairs of blocks may hold in any case.
@@ -376,7 +376,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> Da
     placed = scratch.put(_placed(nodes, clusters), "placed")
     wanted = text
     if placed.count() <= BROADCAST_ROWS:
-        wanted = text.join(F.broadcast(placed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        wanted = among(text, placed.select(F.col("rep").alias("doc_id")))
     payload = wanted.join(placed, F.col("doc_id") == F.col("rep")).select("text", "node", "cluster", "block")
     payload = payload.mapInArrow(_payloads(k), "cluster long, block long, node long, shingles binary")
     blocks = payload.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
